@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, quality_rules, source_mix, url_filter
+from . import byte_bpe, common, quality_rules, source_mix, token_files, url_filter
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block")]
 #: The block list of the query: hosts of advertising, betting, pill and link farms.
@@ -32,6 +32,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.apply(common.table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, BLOCKED_HOSTS)
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_files.scratch_path(spark)
+    token_files.write(common.table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), 2, path)
+    return token_files.checksums(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
