@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, quality_rules, source_mix, token_files, url_filter
+from . import byte_bpe, common, quality_rules, source_mix, token_files, toxicity, url_filter
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block")]
 #: The block list of the query: hosts of advertising, betting, pill and link farms.
@@ -40,6 +40,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(spark, path)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    rows = toxicity.training_rows(docs, common.table(spark, sf_dir, "labels", "doc_id", "toxic"), lambda i: ~toxicity.held_out(i))
+    out = toxicity.score(docs, toxicity.fit(rows))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", "cosines")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
