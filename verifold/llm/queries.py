@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, embed_dedup, ngram_join, quality_rules, source_mix, token_files, toxicity, url_filter
+from . import byte_bpe, common, embed_dedup, ngram_join, ppm_score, quality_rules, source_mix, token_files, toxicity, url_filter
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block")]
 #: The block list of the query: hosts of advertising, betting, pill and link farms.
@@ -32,6 +32,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.apply(common.table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, BLOCKED_HOSTS)
 
 
+def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_score.scores(common.table(spark, sf_dir, "documents", "doc_id", "text"), lambda i: ~toxicity.held_out(i, 10))
+
+
 def op7_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.groups(common.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
