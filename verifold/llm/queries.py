@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, embed_dedup, ngram_join, ppm_score, quality_rules, source_mix, token_files, toxicity, url_filter
+from . import byte_bpe, chat_format, common, embed_dedup, ngram_join, ppm_score, quality_rules, source_mix, token_files, toxicity, url_filter
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block")]
 #: The block list of the query: hosts of advertising, betting, pill and link farms.
 BLOCKED_HOSTS = ["ads-track.example.com", "free-bets.example.net", "cheap-pills.example.net", "spam-farm.example.org", "casino-win.example.net", "adult-x.example.com"]
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.apply(common.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(common.table(spark, sf_dir, "documents", "doc_id", "text"))
 
