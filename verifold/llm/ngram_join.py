@@ -6,11 +6,13 @@ most, and their sets differ in at most ``(a + b) * (100 - percent) / (100 + perc
 
 1. Every document is described by its set's size and fingerprint; equal sets are one class.
 2. *Candidates.*  Hash space is cut into more parts than a linked pair of its size band can
-   differ in, so a linked pair agrees on a whole part (pigeonhole).  The hash of each part's
-   content is a signature; classes with a common signature are joined to its least class.
-   A common passage or a frequent word doesn't make signatures equal, since a part must agree
-   as a whole.  Empty parts count only in sets with more of them than the parts' surplus, and
-   then as the combination of the empty parts.
+   differ in, so a linked pair agrees on at least one part more than the *spare* ones
+   (pigeonhole).  The hash of a part's content is a signature.  Classes with a rare signature
+   in common are joined to the least of them.  A signature of more than ``few`` classes (of a
+   passage that many share, or of a large group of copies) and an empty part prove little
+   alone: if all parts that a linked pair agrees on are such, they are over spare in number in
+   both, so the pair has two of them in common among a prefix of either's sorted list
+   (prefix filter), and such twos are signatures again.
 3. Components of that graph are clusters.  A cluster's sets meet as a *sparse matrix product*:
    the document by n-gram incidence is multiplied with its transpose in blocks of columns,
    overlaps accumulate, and pairs below the bound of their sizes are discarded.  A cluster
@@ -30,7 +32,6 @@ least doc_id that is not null; other columns are never read.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,7 +55,7 @@ class Join:
     percent: int = 85
     block_docs: int = 512
     columns: int = 4096  # of the incidence matrix at a time
-    spare: float = 0.08  # surplus of parts over the differences, for empty parts
+    few: int = 4  # a signature of more classes counts only together with others
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -94,7 +95,7 @@ class Parts:
     """Size bands, and for each the number of parts and its surplus."""
 
     def __init__(self, join: Join):
-        self.join, self.low = join, [1]
+        self.join, self.low, self.known = join, [1], {}
 
     def band(self, n: int) -> int:
         while self.low[-1] <= n:
@@ -111,96 +112,138 @@ class Parts:
         return out
 
     def of(self, band: int) -> tuple[int, int]:
-        self.band(self.low[band] if band < len(self.low) else band)
-        most = 2 * (self.low[band + 1] - 1) * (100 - self.join.percent) // (100 + self.join.percent)
-        spare = int(np.ceil(self.join.spare * (most + 1))) if most else 0
-        return most + 1 + spare, spare
+        """Parts, and how many more they are than the differing ones: about as many as are empty by chance in the least sets."""
+        if band not in self.known:
+            while len(self.low) < band + 2:
+                self.band(self.low[-1])
+            most = 2 * (self.low[band + 1] - 1) * (100 - self.join.percent) // (100 + self.join.percent)
+            least, spare = self.low[band] * self.join.percent // 100, 0
+            while spare < 0.3 * most and spare < (empty := (n := most + 1 + spare) * (1 - 1 / n) ** least) + 2 * empty**0.5:
+                spare += 1
+            self.known[band] = most + 1 + spare, spare
+        return self.known[band]
 
     def signatures(self, hashes: np.ndarray) -> np.ndarray:
+        """A hash for each part's content; its last six bits are the band."""
         out = []
         for band in self.bands(len(hashes)):
-            n, spare = self.of(band)
+            n, _ = self.of(band)
             part = ((hashes >> U(32)) * U(n)) >> U(32)  # sorted, as the hashes are
             first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             sums = np.add.reduceat(mix(hashes ^ U(0xA5A5A5A5A5A5A5A5)), first)
             tag = U((band * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF)
-            out.append(mix(sums + mix(part[first] + tag)))
-            if n - len(first) > spare:
-                empty = sorted(set(range(n)) - set(part[first].tolist()))
-                out.append(np.array([xxhash.xxh3_64_intdigest(repr((band, c)).encode()) for c in itertools.combinations(empty, spare + 1)], U))
+            own = [mix(sums + mix(part[first] + tag))]
+            if n > len(first):
+                empty = np.setdiff1d(np.arange(n, dtype=U), part[first])
+                own.append(mix(mix(empty + tag) + U(7)))
+            out.append(np.concatenate(own) & ~U(63) | U(band))
         return np.concatenate(out) if out else np.zeros(0, U)
 
 
 def described(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, class (fingerprint of the set; null when empty)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
+    """doc_id, n_shingles, class (fingerprint of the set; null when empty), signatures (once for the copies of a batch)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("signatures", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(join.words)
+        shingles, parts = Shingles(join.words), Parts(join)
         for batch in batches:
-            sets = [shingles.of(t) for t in common.texts(batch)]
-            prints = [_fingerprint(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64())], schema=schema)
+            sizes, prints, signatures, done = [], [], [], set()
+            for text in common.texts(batch):
+                hashes = shingles.of(text)
+                own = _fingerprint(hashes) if len(hashes) else None
+                sizes.append(len(hashes))
+                prints.append(own)
+                signatures.append(np.zeros(0, np.int64) if own is None or own in done else parts.signatures(hashes).view(np.int64))
+                done.add(own)
+            offsets = pa.array(np.cumsum([0, *map(len, signatures)]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*signatures, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), lists], schema=schema)
 
-    return common.map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, class long")
+    return common.map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, class long, signatures array<long>")
 
 
 def _fingerprint(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def candidates(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """a, b: classes with a common signature, each joined to the least class that has it."""
-    schema = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("edge", pa.bool_())])
+def _scan(rows: DataFrame, few: int | None) -> DataFrame:
+    """rows(key, class) by equal keys, as a sorted stream: hot, a, b.
 
-    def batch_of(key: np.ndarray, own: np.ndarray, edge: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(np.full(len(key), edge))], schema=schema)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, parts = Shingles(join.words), Parts(join)
-        for batch in batches:
-            keys, owners, done = [], [], set()
-            for text in common.texts(batch):
-                hashes = shingles.of(text)
-                if len(hashes) and (own := _fingerprint(hashes)) not in done:
-                    done.add(own)  # a batch's copies need no signatures of their own
-                    keys.append(parts.signatures(hashes).view(np.int64))
-                    owners.append(np.full(len(keys[-1]), own))
-            if not keys:
-                continue
-            key, own = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((own, key))
-            key, own = key[order], own[order]
-            first = np.append(True, key[1:] != key[:-1])
-            least = own[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-            yield batch_of(key[first], own[first], False)
-            if (more := ~first & (least != own)).any():
-                pairs = np.unique(np.stack([least[more], own[more]]), axis=1)
-                yield batch_of(pairs[0], pairs[1], True)
+    Up to ``few`` classes (None: any number) are joined to the least: a is that, b another.
+    More make the key hot: a is the key, b each class.
+    """
+    schema = pa.schema([("hot", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
+    most = few or 1 << 62
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_own = None  # a signature's rows may go on in the next batch
+        held_key = np.zeros(0, np.int64)  # the last key's rows, which may go on in the next batch
+        held_own, hot_key = held_key, None
+
+        def found(key: np.ndarray, own: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held_key, held_own, hot_key
+            new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
+            key, own = key[new], own[new]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(start, len(key)))
+            least = np.repeat(own[start], size)
+            hot = np.repeat(size > most, size)
+            if hot_key is not None:
+                hot |= key == hot_key
+            hold = np.zeros(len(key), bool)
+            if not last:
+                hold[start[-1] :] = True
+                if hot[-1]:  # known to be hot: nothing to hold
+                    hold[:], hot_key = False, key[-1]
+                elif few is None:  # the least is all that must be held
+                    hold[:] = False
+                held_key, held_own = key[hold], own[hold]
+                if few is None:
+                    held_key, held_own = key[-1:], least[-1:]
+            edge = ~hot & ~hold & (own != least)
+            for flag, a, b in ((True, key[hot], own[hot]), (False, least[edge], own[edge])):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), flag)), pa.array(a), pa.array(b)], schema=schema)
+
         for batch in batches:
-            key, own, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            a, b = [key[edge]], [own[edge]]
-            key, own = key[~edge], own[~edge]
+            key, own = (np.concatenate([held, batch.column(i).to_numpy(zero_copy_only=False)]) for i, held in enumerate((held_key, held_own)))
             if len(key):
-                first = np.append(True, key[1:] != key[:-1])
-                least = own[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-                if last_key is not None and key[0] == last_key:
-                    same = np.cumsum(first) == 1
-                    least[same] = last_own
-                last_key, last_own = key[-1], least[-1]
-                more = least != own
-                a.append(least[more])
-                b.append(own[more])
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = common.map_batches(docs.select("doc_id", "text"), emit, "key long, class long, edge boolean")
-    dealt = rows.repartition(n, "key", F.when(F.col("edge"), F.col("class"))).sortWithinPartitions("key", "class")
-    return common.map_batches(dealt, scan, "a long, b long").distinct()
+                yield from found(key, own, False)
+        if len(held_key):
+            yield from found(held_key, held_own, True)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("key", "class").repartition(n, "key").sortWithinPartitions("key", "class")
+    return common.map_batches(dealt, scan, "hot boolean, a long, b long")
+
+
+def candidates(rows: DataFrame, join: Join = Join()) -> DataFrame:
+    """a, b: edges over classes that connect every pair that may link.  rows: described()."""
+    found = common.materialize(_scan(rows.where(F.col("class").isNotNull()).select(F.explode("signatures").alias("key"), "class"), join.few), "signatures")
+    schema = pa.schema([("key", pa.int64()), ("class", pa.int64())])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(join)
+        for batch in batches:
+            keys, owners = [], []
+            for own, band, hot in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                spare = parts.of(band)[1]
+                if len(hot) > spare:
+                    k = min(spare + 1, 2)
+                    h = np.array(hot[: len(hot) - spare - 1 + k], np.int64).view(U)
+                    if k == 1:
+                        made = mix(h)
+                    else:
+                        i, j = np.triu_indices(len(h), 1)
+                        made = mix(mix(h[i]) + h[j])
+                    keys.append(made.view(np.int64))
+                    owners.append(np.full(len(made), own))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], schema=schema)
+
+    hot = found.where("hot").select(F.col("b").alias("class"), F.col("a").bitwiseAND(63).cast("int").alias("band"), F.col("a").alias("key"))
+    hot = hot.groupBy("class", "band").agg(F.array_sort(F.collect_set("key")).alias("hot"))  # a class has a part's signature once
+    pairs = _scan(common.map_batches(hot, combine, "key long, class long"), None)
+    return found.where("not hot").select("a", "b").union(pairs.select("a", "b")).distinct()
 
 
 def product_links(sets: list[np.ndarray], join: Join, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -299,7 +342,7 @@ def groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id of ``docs(doc_id, text)``: a row for each document."""
     rows = common.materialize(described(docs, join), "described")
     classes = common.materialize(rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("row")), "classes")
-    clusters = components(common.materialize(candidates(docs, join), "candidates"))
+    clusters = components(common.materialize(candidates(rows, join), "candidates"))
     found = common.materialize(links(docs, classes, clusters, join), "links")
     roots = components(found)
     member = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "row", F.coalesce("root", "class").alias("root"))
