@@ -87,10 +87,11 @@ def segments(text: Column) -> Column:
 
 def windows(parts: Column, *widths: int) -> Column:
     """Neighbouring elements joined by a space, for each width."""
-    made = [
-        F.when(F.size(parts) >= w, F.transform(F.sequence(F.lit(1), F.size(parts) - (w - 1)), lambda i, w=w: F.array_join(F.slice(parts, i, w), " "))).otherwise(F.array().cast("array<string>"))
-        for w in widths
-    ]
+    def of(w: int) -> Column:
+        starts = F.when(F.size(parts) >= w, F.sequence(F.lit(1), F.size(parts) - (w - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(parts, i, w), " "))
+
+    made = [of(w) for w in widths]
     return F.array_distinct(F.concat(*made))
 
 
