@@ -214,6 +214,8 @@ def scores(docs: DataFrame, train, ppm: Ppm = Ppm()) -> DataFrame:
     s, below = ppm.smoothing, math.log10(n_all + ppm.smoothing * (v_all + 1))
     top = words.orderBy(F.desc("c"), "word").limit(ppm.frequent_words).toArrow()
     frequent = dict(zip((w.encode() for w in top.column("word").to_pylist()), top.column("c").to_pylist(), strict=True))
+    ends = words.where(F.col("word") == END).select("c").first()
+    frequent[END.encode()] = ends.c if ends else 0
     held = spark.sparkContext.broadcast((frequent, levels_of(gathered, ppm)))
     name = uuid.uuid4().hex
 
@@ -224,7 +226,7 @@ def scores(docs: DataFrame, train, ppm: Ppm = Ppm()) -> DataFrame:
             _models[name] = Model(levels)
         model = _models[name]
         logs = {w: math.log10(c + s) for w, c in counts.items()}
-        end = counts.get(END.encode(), 0)
+        end = counts[END.encode()]
         for batch in batches:
             texts = common.texts(batch)
             own, n, known, base, rare = batch.column(2).to_pylist(), [], [], [], []
