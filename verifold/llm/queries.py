@@ -67,5 +67,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_RULES = ", ".join(f"('{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{verdict}')" for rule, verdict in URL_RULES)
+_HOSTS = ", ".join(f"('{h}')" for h in BLOCKED_HOSTS)
+URL_SQL = f"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM cut),
+rules(rule, rule_host, rule_path, rule_verdict) AS (VALUES {_RULES}), hosts(blocked) AS (VALUES {_HOSTS}),
+fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict FROM parts JOIN rules
+  ON ('.' || host LIKE '%.' || rule_host) AND starts_with(path, rule_path) GROUP BY page_id),
+bad AS (SELECT page_id, arg_max(blocked, length(blocked)) AS blocked_host FROM parts JOIN hosts ON ('.' || host LIKE '%.' || blocked) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN blocked_host IS NULL THEN 'allow' ELSE 'block' END) AS verdict, blocked_host
+FROM parts LEFT JOIN fit USING (page_id) LEFT JOIN bad USING (page_id)"""
+_REACH = """
+pairs AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS x, b AS y FROM pairs UNION SELECT reach.x, pairs.b FROM reach JOIN pairs ON reach.y = pairs.a),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)"""
+EMBEDDING_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+link AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id < q.vec_id
+  AND list_dot_product(p.e, q.e) >= 0.98 * sqrt(list_dot_product(p.e, p.e)) * sqrt(list_dot_product(q.e, q.e))), {_REACH}
+SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id) AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(y, vec_id)) AS kept
+FROM v LEFT JOIN least ON x = vec_id"""
+JACCARD_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{common.WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS o FROM s p JOIN s q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)), {_REACH}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON x = doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": URL_SQL, "op7_embed_dedup": EMBEDDING_SQL, "op8_ngram_join": JACCARD_SQL}
