@@ -44,7 +44,7 @@ class Rules:
     max_navigation: float = 0.2  # of a line's words that are separators or menu words
     max_stutter: float = 0.5  # of a line's words that repeat the word before
     max_boilerplate_words: int = 30  # a longer line that names such a phrase is prose
-    max_lost: float = 0.5  # of a document's words in removed lines
+    max_lost: float = 0.6  # of a document's words in removed lines
 
 
 def judge_line(line: bytes, words: list[bytes], rules: Rules) -> str | None:
