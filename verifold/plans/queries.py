@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, fuzzy, ids, names
 from ..functions import text as T
-from ..operators import evaluation, gates, keywords, logs, search
+from ..operators import evaluation, extract, gates, keywords, logs, search
 from .profiles import keyword_table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,3 +400,23 @@ def log_hourly_counts(spark, d):
     from ..streaming import log_stream
 
     return log_stream.hourly(table(spark, d, "events").withColumnRenamed("event_type", "document_type"), "ts")
+
+
+@query(r"""WITH t AS (SELECT item_id AS doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark)
+ SELECT DISTINCT doc_id, unnest(list_concat(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')), list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS window FROM t""")
+def word_windows(spark, d):
+    return extract.windows_of(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 4)
+
+
+@query()
+def name_candidates_best(spark, d):
+    """Part names as names in labelled texts, found and matched again."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("expected_name"), F.concat(F.lit("NO 12 | Nama : "), F.initcap("p_name"), F.lit("\nALAMAT LAIN")).alias("text"))
+    return extract.best_name(extract.name_candidates(p), p)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 3 <> o_custkey % 2 + 1 END AS conflict FROM orders")
+def card_number_conflict(spark, d):
+    a = F.when(F.col("o_custkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array((F.col("o_custkey") % 3).cast("string")))
+    b = F.array((F.col("o_custkey") % 2 + 1).cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", extract.number_conflict(a, b).alias("conflict"))
