@@ -24,16 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def bound_batches(spark: SparkSession, rows: int) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     except Exception:  # a Spark without that setting has the bound in rows alone
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    bound_batches(df.sparkSession)
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    bound_batches(df.sparkSession, rows)
     return df.mapInArrow(fn, schema)
 
 
@@ -59,8 +59,8 @@ def materialize(df: DataFrame, name: str = "part", **options: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and nothing needs any more."""
     spark = df.sparkSession
-    jvm, roots = spark._jvm, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for root in roots:
+    jvm = spark._jvm
+    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/verifold-" in root:
             path = jvm.org.apache.hadoop.fs.Path(root)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -27,12 +27,16 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = common.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up")), "hooks")
         higher = hooked.select(F.col("node").alias("up"), F.col("up").alias("top"))
         hooks = common.materialize(hooked.join(higher, "up").select("node", F.col("top").alias("root")), "roots")
+        common.discard(hooked)
         maps.append(hooks)
         of_a, of_b = (hooks.select(F.col("node").alias(c), F.col("root").alias(r)) for c, r in (("a", "ra"), ("b", "rb")))
         left = common.materialize(
             edges.join(of_a, "a").join(of_b, "b").where(F.col("ra") != F.col("rb")).select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "edges"
         )
+        if len(maps) > 1:
+            common.discard(edges)
         if not left.take(1):
+            common.discard(left)
             break
         edges = left
         both = edges.union(edges.select(F.col("b"), F.col("a")))

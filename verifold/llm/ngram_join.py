@@ -11,8 +11,8 @@ most, and their sets differ in at most ``(a + b) * (100 - percent) / (100 + perc
    in common are joined to the least of them.  A signature of more than ``few`` classes (of a
    passage that many share, or of a large group of copies) and an empty part prove little
    alone: if all parts that a linked pair agrees on are such, they are over spare in number in
-   both, so the pair has two of them in common among a prefix of either's sorted list
-   (prefix filter), and such twos are signatures again.
+   both, so the pair has two of them in common among a prefix of either's list, the rarest
+   first (prefix filter), and such twos (in large sets such ones) are signatures again.
 3. Components of that graph are clusters.  A cluster's sets meet as a *sparse matrix product*:
    the document by n-gram incidence is multiplied with its transpose in blocks of columns,
    overlaps accumulate, and pairs below the bound of their sizes are discarded.  A cluster
@@ -55,7 +55,8 @@ class Join:
     percent: int = 85
     block_docs: int = 512
     columns: int = 4096  # of the incidence matrix at a time
-    few: int = 4  # a signature of more classes counts only together with others
+    few: int = 2  # a signature of more classes counts only together with others
+    twos: int = 100  # parts of a band up to which they count in twos
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -141,25 +142,36 @@ class Parts:
 
 
 def described(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, class (fingerprint of the set; null when empty), signatures (once for the copies of a batch)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("signatures", pa.list_(pa.int64()))])
+    """doc_id, n_shingles, class (fingerprint of the set; null when empty)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(join.words)
+        for batch in batches:
+            sets = [shingles.of(t) for t in common.texts(batch)]
+            prints = [_fingerprint(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64())], schema=schema)
+
+    return common.map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, class long")
+
+
+def signatures(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """key, class: the signatures of every set, once for the copies of a batch."""
+    schema = pa.schema([("key", pa.int64()), ("class", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, parts = Shingles(join.words), Parts(join)
         for batch in batches:
-            sizes, prints, signatures, done = [], [], [], set()
+            keys, owners, done = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
             for text in common.texts(batch):
                 hashes = shingles.of(text)
-                own = _fingerprint(hashes) if len(hashes) else None
-                sizes.append(len(hashes))
-                prints.append(own)
-                signatures.append(np.zeros(0, np.int64) if own is None or own in done else parts.signatures(hashes).view(np.int64))
-                done.add(own)
-            offsets = pa.array(np.cumsum([0, *map(len, signatures)]), pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*signatures, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), lists], schema=schema)
+                if len(hashes) and (own := _fingerprint(hashes)) not in done:
+                    done.add(own)
+                    keys.append(parts.signatures(hashes).view(np.int64))
+                    owners.append(np.full(len(keys[-1]), own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], schema=schema)
 
-    return common.map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, class long, signatures array<long>")
+    return common.map_batches(docs.select("doc_id", "text"), run, "key long, class long")
 
 
 def _fingerprint(hashes: np.ndarray) -> int:
@@ -216,34 +228,36 @@ def _scan(rows: DataFrame, few: int | None) -> DataFrame:
     return common.map_batches(dealt, scan, "hot boolean, a long, b long")
 
 
-def candidates(rows: DataFrame, join: Join = Join()) -> DataFrame:
-    """a, b: edges over classes that connect every pair that may link.  rows: described()."""
-    found = common.materialize(_scan(rows.where(F.col("class").isNotNull()).select(F.explode("signatures").alias("key"), "class"), join.few), "signatures")
+def candidates(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """a, b: edges over classes that connect every pair that may link, written to the shared folder."""
+    found = common.materialize(_scan(signatures(docs, join), join.few), "signatures")
     schema = pa.schema([("key", pa.int64()), ("class", pa.int64())])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts(join)
         for batch in batches:
-            keys, owners = [], []
+            keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for own, band, hot in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                spare = parts.of(band)[1]
+                n, spare = parts.of(band)
                 if len(hot) > spare:
-                    k = min(spare + 1, 2)
+                    # twos of many parts would be too many; there the rarest alone are telling
+                    k = min(spare + 1, 2) if n <= join.twos else 1
                     h = np.array(hot[: len(hot) - spare - 1 + k], np.int64).view(U)
-                    if k == 1:
-                        made = mix(h)
-                    else:
-                        i, j = np.triu_indices(len(h), 1)
-                        made = mix(mix(h[i]) + h[j])
+                    i, j = np.triu_indices(len(h), 1)
+                    made = mix(h) if k == 1 else mix(mix(np.minimum(h[i], h[j])) + np.maximum(h[i], h[j]))
                     keys.append(made.view(np.int64))
                     owners.append(np.full(len(made), own))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], schema=schema)
 
-    hot = found.where("hot").select(F.col("b").alias("class"), F.col("a").bitwiseAND(63).cast("int").alias("band"), F.col("a").alias("key"))
-    hot = hot.groupBy("class", "band").agg(F.array_sort(F.collect_set("key")).alias("hot"))  # a class has a part's signature once
-    pairs = _scan(common.map_batches(hot, combine, "key long, class long"), None)
-    return found.where("not hot").select("a", "b").union(pairs.select("a", "b")).distinct()
+    hot = found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("class"))
+    often = hot.groupBy("key").agg(F.count("*").alias("often"))
+    ranked = hot.join(often, "key").select("class", F.col("key").bitwiseAND(63).cast("int").alias("band"), F.struct("often", "key").alias("ranked"))
+    # A class has a part's signature once, so a list is no longer than a band has parts; the rarest come first.
+    lists = ranked.groupBy("class", "band").agg(F.transform(F.array_sort(F.collect_set("ranked")), lambda r: r["key"]).alias("hot"))
+    pairs = _scan(common.map_batches(lists, combine, "key long, class long"), None)
+    out = common.materialize(found.where("not hot").select("a", "b").union(pairs.select("a", "b")).distinct(), "candidates")
+    common.discard(found)
+    return out
 
 
 def product_links(sets: list[np.ndarray], join: Join, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -342,9 +356,12 @@ def groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id of ``docs(doc_id, text)``: a row for each document."""
     rows = common.materialize(described(docs, join), "described")
     classes = common.materialize(rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("row")), "classes")
-    clusters = components(common.materialize(candidates(rows, join), "candidates"))
+    edges = candidates(docs, join)
+    clusters = components(edges)
+    common.discard(edges)
     found = common.materialize(links(docs, classes, clusters, join), "links")
     roots = components(found)
+    common.discard(found)
     member = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "row", F.coalesce("root", "class").alias("root"))
     least = member.groupBy("root").agg(F.min("row").alias("component_id"))
     named = member.join(least, "root").select("class", "component_id")
