@@ -48,6 +48,19 @@ class Ppm:
     smoothing: float = 0.1
 
 
+def _slices(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """Texts in order, about so many bytes at a time: an array of a batch's grams has eight bytes for each."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def grams(texts: list[bytes], order: int) -> np.ndarray:
     """For every byte and end byte: it and the ``order`` bytes before it, the first highest."""
     pad = b"\0" * order
@@ -160,6 +173,9 @@ class Model:
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
+        return np.concatenate([self._score(part) for part in _slices(texts, 1 << 20)] or [np.zeros(0)])
+
+    def _score(self, texts: list[bytes]) -> np.ndarray:
         sums = np.append(0.0, np.cumsum(self.log10(grams(texts, self.order))))
         ends = np.cumsum([len(t) + 1 for t in texts])
         return sums[ends] - sums[ends - [len(t) + 1 for t in texts]]
@@ -179,9 +195,10 @@ def gather(training: DataFrame, ppm: Ppm) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(words), pa.binary()).cast(pa.string()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "gram", "n"]
             )
-            new, n = np.unique(grams(texts, ppm.order), return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+            for part in _slices(texts, 4 << 20):
+                new, n = np.unique(grams(part, ppm.order), return_counts=True)
+                keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(counts)], names=["word", "gram", "n"])
 
     return common.map_batches(training.select("text"), run, "word string, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
