@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,24 @@ LAYOUT = {
 }
 
 
+#: Marks that may be cut off a word's end.
+MARKS = frozenset(b".,;:!?*%&$#")
+
+
+def stem_of(word: bytes) -> tuple[bytes, bytes]:
+    """A word as two that the library tokenises alike: lower-cased letters, and sentence marks after them.
+
+    A run of marks after a letter or digit is a pre-token of its own, and the normaliser lowers
+    case; words that may hold a special token are left as they are.
+    """
+    if b"<|" in word:
+        return word, b""
+    stem = word.rstrip(bytes(MARKS))
+    if stem and stem != word and (stem[-1:].isalnum() or stem[-1] >= 128 and stem.decode()[-1].lower().isalpha()):
+        return stem.lower(), word[len(stem) :]
+    return word.lower(), b""
+
+
 class Encoder:
     """A tokenizer file of the tokenizers library, applied to distinct words.
 
@@ -51,24 +70,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words = Memory()
+        self.words, self.stems = Memory(200_000), Memory(200_000)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: list[bytes], end: int | None = None) -> list[bytes]:
         """The ids of each text as packed little-endian 32-bit integers."""
         cut = [t.split() for t in texts]
-        new = [w for w in set().union(*cut) if not self.words.knows(w)]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            ids = [e.ids for e in found]
-            flat = np.fromiter((i for x in ids for i in x), "<u4", sum(map(len, ids))).tobytes()
-            ends = np.cumsum([0, *(4 * len(x) for x in ids)]).tolist()
-            self.words.update((w, flat[a:b]) for w, a, b in zip(part, ends, ends[1:], strict=False))
+        plain, lower, marked = [], [], []
+        for w in set().union(*cut):
+            if not self.words.knows(w):
+                if w[-1] in MARKS or b"<|" in w:
+                    marked.append((w, *stem_of(w)))
+                else:
+                    plain.append(w)
+                    lower.append(w.lower())
+        self.learn({*lower, *(x for _, a, b in marked for x in (a, b))})
+        stems = self.stems
+        self.words.update(zip(plain, map(stems.__getitem__, lower), strict=True))
+        self.words.update((w, stems[a] + stems[b]) for w, a, b in marked)
         tail = b"" if end is None else np.uint32(end).astype("<u4").tobytes()
         out = [b"".join(map(self.words.__getitem__, words)) + tail for words in cut]
         self.words.turn()
+        stems.turn()
         return out
 
+    def learn(self, stems: set[bytes]) -> None:
+        new = [w for w in stems if not self.stems.knows(w)]
+        # A word of letters is one pre-token and ends with the one id that ends a word, so such
+        # words are encoded many to a text; the others one by one.
+        letters = [w for w in new if w.isalpha() or (not w.isascii() and (t := w.decode()).isalpha() and t.lower().isalpha())]
+        for at in range(0, len(letters), 20_000):
+            part = letters[at : at + 20_000]
+            joined = [b" ".join(part[i : i + 200]).decode() for i in range(0, len(part), 200)]
+            self.store(part, np.fromiter(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(joined, add_special_tokens=False)), np.int64))
+        known = set(letters)
+        rest = [w for w in new if w not in known]
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+            self.stems.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(part, ids, strict=True))
+
+    def store(self, words: list[bytes], flat: np.ndarray) -> None:
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        if len(ends) != len(words):  # the vocabulary doesn't end words as expected
+            for w in words:
+                self.stems[w] = np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            return
+        packed, cuts = flat.astype("<u4").tobytes(), (4 * np.append(0, ends)).tolist()
+        self.stems.update((w, packed[a:b]) for w, a, b in zip(words, cuts, cuts[1:], strict=False))
+
     def check(self, texts: list[str]) -> bool:
         whole = [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         return self.encode([t.encode() for t in texts]) == whole
