@@ -31,7 +31,7 @@ from . import common
 
 LONG_WORD = 400
 #: Remembered entries of one generation (of two) in a worker.
-REMEMBERED = 250_000
+REMEMBERED = 450_000
 #: Unicode white space; Python's own class has four control characters more.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -50,7 +50,7 @@ WITH RECURSIVE s AS (
     FROM s JOIN (
       SELECT x.w, x.k, min(y.p) FILTER (WHERE y.p > x.p) AS next, max(y.p) FILTER (WHERE y.p < x.p) AS before,
              arg_min(y.r, y.p) FILTER (WHERE y.p > x.p) AS after_next
-      FROM (SELECT w, min(k) AS k, (min(k) & 4294967295)::INT AS p FROM s GROUP BY w HAVING min(k) IS NOT NULL) x
+      FROM (SELECT w, min(k) AS k, (min(k) & 4294967295)::INT AS p FROM s WHERE k IS NOT NULL GROUP BY w) x
       JOIN s y ON y.w = x.w GROUP BY x.w, x.k) b ON b.w = s.w
     WHERE s.p <> b.next
   ) a LEFT JOIN merges m ON m.pair = a.t::BIGINT * {SHIFT} + a.r
@@ -70,6 +70,9 @@ def own_spaces(pattern: str) -> str:
     return pattern.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]")
 
 
+MARKS = frozenset(".,;:!?")
+
+
 class Memory(dict):
     """A dict of two generations: when the young one is full it becomes the old one."""
 
@@ -102,6 +105,8 @@ class Codec:
         import duckdb
 
         self.ranks, self.split = ranks, regex.compile(own_spaces(pattern))
+        # whether the pattern takes a space with letters, and a mark by itself
+        self.plain = all(self.split.findall(a + b) == [a, *b] for a, b in ((" é", "."), (" ñandú", "!"), (" 漢字", ","), (" ªº", "")))
         self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         pairs = [(ranks[t[:i]] * SHIFT + ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         for name, table in (
@@ -114,7 +119,7 @@ class Codec:
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.starts = np.zeros(max(ranks.values()) + 1, bool)
         self.starts[[i for t, i in ranks.items() if t[:1] == b" "]] = True
-        self.tokens, self.pieces, self.runs = Memory(), Memory(), Memory()
+        self.tokens, self.pieces, self.runs = Memory(), Memory(), Memory(REMEMBERED // 2)
 
     def query(self, sql: str, **tables: pa.Table) -> pa.Table:
         for name, table in tables.items():
@@ -179,6 +184,15 @@ class Codec:
         new = [t for t in tokens if not self.tokens.knows(t)]
         self.tokens.update(zip(new, self.contract([t.encode() for t in new]), strict=True))
 
+    def cut(self, piece: str) -> list[str] | None:
+        """The tokens' texts of a space and a piece; None if white space is at the piece's ends."""
+        if self.plain:  # letters, and one mark after them, need no pattern
+            if piece.isalpha():
+                return [" " + piece]
+            if piece[-1:] in MARKS and piece[:-1].isalpha():
+                return [" " + piece[:-1], piece[-1]]
+        return None if not piece or piece[0].isspace() or piece[-1].isspace() else self.split.findall(" " + piece)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text.
 
@@ -190,7 +204,7 @@ class Codec:
         new: dict[str, list[str] | None] = {}
         for piece in set().union(*parts):
             if not self.pieces.knows(piece):
-                new[piece] = None if not piece or piece[0].isspace() or piece[-1].isspace() else self.split.findall(" " + piece)
+                new[piece] = self.cut(piece)
         first = [self.split.findall(p[0]) for p in parts]
         self.learn(set().union(*first, *(x for x in new.values() if x)))
         ids = self.tokens
@@ -251,7 +265,7 @@ def _map(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], schema
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *fn(batch)], schema=arrow)
 
-    return common.map_batches(docs.select("doc_id", column), run, schema)
+    return common.map_batches(docs.select("doc_id", column), run, schema, 4096)  # fewer batches meet a word again
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
