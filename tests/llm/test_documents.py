@@ -181,6 +181,21 @@ def test_ppm_is_a_distribution():
     assert ppm_score.Model([(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 3).score([b"a"])[0] == pytest.approx(-2 * np.log10(256))
 
 
+@pytest.mark.parametrize(("size", "part_keys"), [(30_000, 1_000), (2_600_000, 200_000)])
+def test_ppm_whole_trie(spark, size, part_keys):
+    """Every key counts, also those beyond the 2,000,000 that a level was once cut to."""
+    rng = np.random.default_rng(6)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .", np.uint8)
+    texts = [rng.choice(letters, size // 100).tobytes().decode() for _ in range(100)] + ["abc abd abe", "", "zz"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.score for r in ppm_score.scores(table, lambda i: i % 10 != 3, ppm_score.Ppm(part_keys=part_keys)).collect()}
+    keys, counts = np.unique(ppm_score.grams([t.encode() for i, t in enumerate(texts) if i % 10 != 3], 5), return_counts=True)
+    assert size < 1_000_000 or len(keys) > 2_000_000
+    model = ppm_score.Model(ppm_score.levels_of(keys, counts, range(6)))
+    want = model.score([t.encode() for t in texts])
+    assert len(got) == len(texts) and [got[i] for i in range(len(texts))] == pytest.approx(list(want), rel=1e-9)
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(1)
     vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]

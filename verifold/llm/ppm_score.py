@@ -9,8 +9,13 @@ its bytes and an end byte, after a context of ``order`` start bytes; its score i
 probability of that sequence.
 
 Every level of the trie is an array of (context, byte) keys.  What exclusion takes from a
-context's parent depends on the context alone, so it is worked out once per context, and a
-whole batch of texts is scored level by level with hash probes; only bytes that escape go on.
+context's parent depends on the context alone, so it is worked out once per context, and the
+distinct grams of a batch are scored level by level with hash probes; only bytes that escape go on.
+
+The trie is whole, however many keys it has.  A context's parents share its last two bytes, so
+the levels of two bytes and more are built in parts by those two, one task a part; the parts'
+arrays and hash slots are files in the shared folder (or, where that is no file system, files that
+Spark ships to every executor), and workers memory-map them.
 
 Beside it, a smoothed unigram score of words: counts come from all training documents.  The
 most frequent words' counts are sent to the tasks; the other words meet their counts in a join,
@@ -24,14 +29,18 @@ probability is 1 by the formula; equal rows get equal scores; other columns are
 from __future__ import annotations
 
 import math
+import os
+import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -43,7 +52,7 @@ END = ""  # the end token: no word is empty
 @dataclass(frozen=True)
 class Ppm:
     order: int = 5
-    most_grams: int = 2_000_000  # (context, byte) keys of the longest level, the most frequent first
+    part_keys: int = 200_000  # (context, byte) keys of the longest level in a part, about; nothing is left out
     frequent_words: int = 100_000  # whose counts are sent to the tasks
     smoothing: float = 0.1
 
@@ -74,33 +83,63 @@ def grams(texts: list[bytes], order: int) -> np.ndarray:
     return key[keep[order:]]
 
 
+def _part(suffix, parts: int):
+    """The part of a context that ends in these two bytes; numbers, arrays and columns alike."""
+    mixed = suffix * 40503 % 65536 * parts
+    return F.floor(mixed / 65536) if isinstance(mixed, Column) else mixed >> 16
+
+
 class Table:
-    """Positions of unique 64-bit keys, by open addressing; probes are vectorised."""
+    """Positions of unique 64-bit keys, by open addressing; probes are vectorised.
+
+    Keys stand in parts, told by the two bytes above the lowest ``skip`` bits; each part has slots of
+    its own, which hold positions inside the part.
+    """
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.slots, self.keys = np.full(1 << self.bits, -1, np.int32), keys
-        left, at = np.arange(len(keys)), self.home(keys)
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.slots, self.keys = np.full(1 << bits, -1, np.int32), keys
+        self.skip, self.part_of = 0, None
+        self.shift, self.mask, self.slot, self.first = np.array([64 - bits], U), np.array([(1 << bits) - 1]), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        left = np.arange(len(keys))
+        at = self.home(keys, self.shift[0])
         while len(left):
             free = self.slots[at] < 0
             self.slots[at[free]] = left[free]  # of those that want a slot, one gets it
             stay = self.slots[at] != left
-            left, at = left[stay], (at[stay] + 1) & ((1 << self.bits) - 1)
-
-    def home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+            left, at = left[stay], (at[stay] + 1) & self.mask[0]
+
+    @classmethod
+    def of_parts(cls, keys: np.ndarray, slots: np.ndarray, parts: list[tuple[int, int, int]], n_parts: int, skip: int) -> Table:
+        """parts: part, keys and slots in the order in which they stand; a part that isn't there is empty."""
+        self = cls.__new__(cls)
+        self.keys, self.slots, self.skip = keys, slots, skip
+        self.part_of = _part(np.arange(1 << 16), n_parts)
+        self.shift, self.mask, self.slot, self.first = np.full(n_parts, 63, U), np.zeros(n_parts, np.int64), np.full(n_parts, -1, np.int64), np.zeros(n_parts, np.int64)
+        key = slot = 0
+        for part, n_keys, n_slots in parts:
+            self.shift[part], self.mask[part], self.slot[part], self.first[part] = 65 - n_slots.bit_length(), n_slots - 1, slot, key
+            key, slot = key + n_keys, slot + n_slots
+        return self
+
+    @staticmethod
+    def home(keys: np.ndarray, shift) -> np.ndarray:
+        return ((keys * U(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        at = self.home(keys)
-        out = self.slots[at]
+        out = np.full(len(keys), -1, np.int64)
         if not len(self.keys):
             return out
-        left = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        part = self.part_of[((keys >> U(self.skip)) & U(0xFFFF)).astype(np.int64)] if self.part_of is not None else np.zeros(len(keys), np.int64)
+        at, slot, first = self.home(keys, self.shift[part]), self.slot[part], self.first[part]
+        left = np.flatnonzero(slot >= 0)
         while len(left):
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-            now = self.slots[at[left]]
-            out[left] = now
-            left = left[(now >= 0) & (self.keys[now] != keys[left])]
+            now = self.slots[slot[left] + at[left]]
+            left, now = left[now >= 0], now[now >= 0] + first[left[now >= 0]]
+            same = self.keys[now] == keys[left]
+            out[left[same]] = now[same]
+            left = left[~same]
+            at[left] = (at[left] + 1) & self.mask[part[left]]
         return out
 
 
@@ -173,10 +212,11 @@ class Model:
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        return np.concatenate([self._score(part) for part in _slices(texts, 1 << 20)] or [np.zeros(0)])
+        return np.concatenate([self._score(part) for part in _slices(texts, 2 << 20)] or [np.zeros(0)])
 
     def _score(self, texts: list[bytes]) -> np.ndarray:
-        sums = np.append(0.0, np.cumsum(self.log10(grams(texts, self.order))))
+        keys, at = np.unique(grams(texts, self.order), return_inverse=True)
+        sums = np.append(0.0, np.cumsum(self.log10(keys)[at]))
         ends = np.cumsum([len(t) + 1 for t in texts])
         return sums[ends] - sums[ends - [len(t) + 1 for t in texts]]
 
@@ -204,18 +244,92 @@ def gather(training: DataFrame, ppm: Ppm) -> DataFrame:
     return common.map_batches(training.select("text"), run, "word string, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-def levels_of(gathered: DataFrame, ppm: Ppm) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The trie's levels; shorter contexts' counts are sums over all longer grams, kept or not."""
+def levels_of(keys: np.ndarray, counts: np.ndarray, orders: Iterable[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The trie's levels: shorter contexts' counts are sums over all longer grams."""
     out = []
-    for j in range(ppm.order + 1):
-        level = gathered.where(F.col("gram").isNotNull()).groupBy(F.col("gram").bitwiseAND((1 << (8 * (j + 1))) - 1).alias("key")).agg(F.sum("n").alias("n"))
-        got = level.orderBy(F.desc("n"), "key").limit(ppm.most_grams).toArrow() if j > 2 else level.toArrow()  # at most 2**24 of three bytes
-        keys, n = got.column("key").to_numpy().astype(U), got.column("n").to_numpy().astype(np.int64)
-        order = np.argsort(keys)
-        out.append((keys[order], n[order]))
+    for j in orders:
+        level, at = np.unique(keys & U((1 << (8 * (j + 1))) - 1), return_inverse=True)
+        out.append((level, np.bincount(at, weights=counts, minlength=len(level)).astype(np.int64)))
     return out
 
 
+#: A part's arrays of one level: keys and their slots, log10 of counts, contexts and their slots, and four rates of each.
+ARRAYS = {"keys": U, "key_slots": np.int32, "log_count": np.float64, "contexts": U, "context_slots": np.int32, "rates": np.float64}
+LOW = 2  # levels of less than two bytes have 65,536 keys at most and are sent with the task
+
+
+@dataclass(frozen=True)
+class Trie:
+    """What a task needs to open the model: the low levels, and files and parts of the others."""
+
+    low: list[tuple[np.ndarray, np.ndarray]]
+    tag: str
+    folder: str | None  # None: files were shipped
+    n_parts: int
+    parts: dict[int, list[tuple[int, int, int, int, int]]]  # level: part, keys, key slots, contexts, context slots
+
+    def open(self) -> Model:
+        model = Model(self.low)
+        for j, parts in sorted(self.parts.items()):
+            got = {}
+            for name, kind in ARRAYS.items():
+                file = f"{self.tag}-{j}-{name}"
+                path = os.path.join(self.folder, file) if self.folder else SparkFiles.get(file)
+                got[name] = np.memmap(path, kind, "r").view(np.ndarray) if os.path.getsize(path) else np.zeros(0, kind)
+            rates = got["rates"].reshape(-1, 4)
+            model.seen.append(Table.of_parts(got["keys"], got["key_slots"], [(p, k, s) for p, k, s, _, _ in parts], self.n_parts, 8))
+            model.contexts.append(Table.of_parts(got["contexts"], got["context_slots"], [(p, k, s) for p, _, _, k, s in parts], self.n_parts, 0))
+            model.log_count.append(got["log_count"])
+            model.fresh.append((rates[:, 0], rates[:, 1]))
+            model.after.append((rates[:, 2], rates[:, 3]))
+            model.order = j
+        return model
+
+
+def build(gathered: DataFrame, ppm: Ppm) -> Trie:
+    """Build the whole trie in parts and write its arrays to files that every executor can open."""
+    spark = gathered.sparkSession
+    every = gathered.where(F.col("gram").isNotNull()).select("gram", "n")
+    mask = (1 << (8 * min(LOW, ppm.order + 1))) - 1
+    got = every.groupBy(F.col("gram").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 2**16
+    low = levels_of(got.column("key").to_numpy().astype(U), got.column("n").to_numpy(), range(min(LOW, ppm.order + 1)))
+    n_parts = min(1 << 16, 1 + every.count() // ppm.part_keys)
+    orders = range(LOW, ppm.order + 1)
+    tag, parts = uuid.uuid4().hex, {j: [] for j in orders}
+    if not orders:
+        return Trie(low, tag, None, n_parts, parts)
+
+    def one_part(table: pa.Table) -> pa.Table:
+        keys, counts = table.column("gram").to_numpy().astype(U), table.column("n").to_numpy()
+        model = Model(low + levels_of(keys, counts, orders))
+        rows = []
+        for j in orders:
+            rates = np.stack([*model.fresh[j], *model.after[j]], axis=1)
+            arrays = (model.seen[j].keys, model.seen[j].slots, model.log_count[j], model.contexts[j].keys, model.contexts[j].slots, rates)
+            rows.append({"part": table.column("part")[0].as_py(), "level": j} | {name: a.tobytes() for name, a in zip(ARRAYS, arrays, strict=True)})
+        return pa.Table.from_pylist(rows, schema=pa.schema([("part", pa.int64()), ("level", pa.int64()), *((name, pa.binary()) for name in ARRAYS)]))
+
+    part = _part(F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF), n_parts).cast("long")
+    split = every.withColumn("part", part).repartition(n_parts, "part").groupBy("part")
+    built = common.materialize(split.applyInArrow(one_part, "part long, level long, " + ", ".join(f"{name} binary" for name in ARRAYS)), "trie")
+    shared = urlsplit(common.shared_dir(spark))
+    folder = os.path.join(unquote(shared.path), f"verifold-trie-{tag}") if shared.scheme in ("", "file") else None
+    if folder:
+        os.makedirs(folder)
+    local = folder or tempfile.mkdtemp(prefix="trie-")
+    files = {(j, name): open(os.path.join(local, f"{tag}-{j}-{name}"), "wb") for j in orders for name in ARRAYS}
+    for r in built.toLocalIterator():
+        for name in ARRAYS:
+            files[r.level, name].write(r[name])
+        parts[r.level].append((r.part, len(r.keys) // 8, len(r.key_slots) // 4, len(r.contexts) // 8, len(r.context_slots) // 4))
+    for f in files.values():
+        f.close()
+        if not folder:
+            spark.sparkContext.addFile(f.name)
+    common.discard(built)
+    return Trie(low, tag, folder, n_parts, parts)
+
+
 _models: dict[str, Model] = {}
 
 
@@ -233,15 +347,15 @@ def scores(docs: DataFrame, train, ppm: Ppm = Ppm()) -> DataFrame:
     frequent = dict(zip((w.encode() for w in top.column("word").to_pylist()), top.column("c").to_pylist(), strict=True))
     ends = words.where(F.col("word") == END).select("c").first()
     frequent[END.encode()] = ends.c if ends else 0
-    held = spark.sparkContext.broadcast((frequent, levels_of(gathered, ppm)))
-    name = uuid.uuid4().hex
+    trie = build(gathered, ppm)
+    held = spark.sparkContext.broadcast((frequent, trie))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, levels = held.value
-        if name not in _models:
+        counts, trie = held.value
+        if trie.tag not in _models:
             _models.clear()
-            _models[name] = Model(levels)
-        model = _models[name]
+            _models[trie.tag] = trie.open()
+        model = _models[trie.tag]
         logs = {w: math.log10(c + s) for w, c in counts.items()}
         end = counts[END.encode()]
         for batch in batches:
