@@ -1,12 +1,23 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
+from verifold.functions import fuzzy
 from verifold.operators import evaluation, gates, keywords, logs, search
+from verifold.plans import queries
 from verifold.plans.profiles import alias_table, keyword_table
 from verifold.streaming import log_stream
 
 
+def best_by_hand(text, kw):
+    """The best of the four metrics over everything that a keyword is looked for in."""
+    if kw in " ".join(text.lower().split()):
+        return 100.0
+    parts = [" ".join(p.lower().split()) for p in re.split(r"[|\n•·]", text)]
+    return max((m(p, kw) for p in parts if p for m in (fuzzy.partial_ratio, fuzzy.token_sort_ratio, fuzzy.token_set_ratio, fuzzy.wratio)), default=0.0)
+
+
 def test_gates(spark):
     def one(profile, extraction, **expected):
         row = {"expected_name": "", "expected_nik": "", "expected_bank": "", "expected_account": ""} | expected
@@ -54,6 +65,17 @@ def test_keywords(spark):
     assert [r.profile for r in names.collect()] == ["ktp", "skck", "bpjs_tk", None]
 
 
+def test_keyword_scores_fuzzy_of_all_documents(spark, tmp_path):
+    texts = ["all of us togethre\nagain", "no thing other | x", None, "together", "quite apart", "nothing othr"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.doc_id, r.kw): (r.score, r.hit) for r in queries.Q["keyword_scores_fuzzy"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(i, kw) for i in range(len(texts)) for kw in ("together", "nothing other")}
+    for (i, kw), (score, hit) in got.items():
+        want = best_by_hand(texts[i] or "", kw)
+        assert abs(score - want) < 1e-9 and hit == (want >= 70), (i, kw)
+
+
 def test_evaluation(spark):
     good, bad = evaluation.explicit_refs(spark.createDataFrame([(1, "A/x.jpg"), (2, "a/X.JPG"), (3, "../x"), (4, "y.pdf")], "pos int, ref string"))
     assert [(r.pos, r.folder, r.file) for r in good.orderBy("pos").collect()] == [(1, "A", "x.jpg"), (4, None, "y.pdf")]

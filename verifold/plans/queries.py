@@ -274,8 +274,7 @@ def detect_profile_ranked(spark, d):
 
 @query()
 def keyword_scores_fuzzy(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
-    return keywords.score(docs.select("doc_id", "text"), keyword_table(spark, {"english": {"flat": ["together", "nothing other"]}}), fuzzy=True).select("doc_id", "kw", "score", "hit")
+    return keywords.score(table(spark, d, "documents").select("doc_id", "text"), keyword_table(spark, {"english": {"flat": ["together", "nothing other"]}}), fuzzy=True).select("doc_id", "kw", "score", "hit")
 
 
 @query(f"SELECT o_orderkey, CASE WHEN o_orderdate::DATE + 90 < DATE '{AS_OF}' THEN 'expired' WHEN o_orderdate::DATE > DATE '{AS_OF}' THEN 'not_yet_valid' ELSE 'valid' END AS expiry FROM orders")
