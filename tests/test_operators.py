@@ -76,6 +76,17 @@ def test_keyword_scores_fuzzy_of_all_documents(spark, tmp_path):
         assert abs(score - want) < 1e-9 and hit == (want >= 70), (i, kw)
 
 
+def test_names_of_other_first_words_meet(spark, tmp_path):
+    names = ["green bolt", "gren bolt", "bolt green", "red nut"]
+    spark.createDataFrame([(n,) for n in [*names, "red nut"]], "p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r.a, r.b): r for r in queries.Q["name_metrics"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(a, b) for a in names for b in names if a < b}
+    assert all(abs(r.token_sort_ratio - fuzzy.token_sort_ratio(a, b)) < 1e-9 and abs(r.wratio - fuzzy.wratio(a, b)) < 1e-9 for (a, b), r in got.items())
+    assert got["bolt green", "green bolt"].token_sort_ratio == 100
+    ratios = {(r.a, r.b): r.ratio for r in queries.Q["name_ratio_all_pairs"](spark, str(tmp_path)).collect()}
+    assert ratios == {(a, b): round(fuzzy.ratio(a, b), 6) for a in names for b in names if a != b}
+
+
 def test_evaluation(spark):
     good, bad = evaluation.explicit_refs(spark.createDataFrame([(1, "A/x.jpg"), (2, "a/X.JPG"), (3, "../x"), (4, "y.pdf")], "pos int, ref string"))
     assert [(r.pos, r.folder, r.file) for r in good.orderBy("pos").collect()] == [(1, "A", "x.jpg"), (4, None, "y.pdf")]

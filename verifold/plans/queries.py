@@ -220,10 +220,26 @@ def name_ratio_pairs(spark, d):
     return pairs.select("a", "b", F.round(fuzzy.ratio_native(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
+def distinct_names(spark, d):
+    return table(spark, d, "part").select(F.col("p_name").alias("n")).distinct()
+
+
+ALL_NAMES_SQL = "WITH RECURSIVE p AS (SELECT DISTINCT p_name AS n FROM part), q AS (SELECT a.n AS a, b.n AS b FROM p a JOIN p b ON a.n <> b.n)"
+RATIO_SQL = " SELECT a, b, round(200.0 * prev[len(prev)] / (length(a) + length(b)), 6) AS ratio FROM s WHERE i = length(a) + 1"
+
+
+@query(ALL_NAMES_SQL + LCS_SQL + RATIO_SQL)
+def name_ratio_all_pairs(spark, d):
+    """Every distinct name with every other, whatever their words; no block that could lose a pair."""
+    p = distinct_names(spark, d)
+    pairs = p.select(F.col("n").alias("a")).crossJoin(p.select(F.col("n").alias("b"))).where("a <> b")
+    return pairs.select("a", "b", F.round(fuzzy.ratio_native(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
 @query()
 def name_metrics(spark, d):
-    p = table(spark, d, "part").select(F.col("p_name").alias("n"), F.split("p_name", " ")[0].alias("first")).distinct()
-    pairs = p.select(F.col("n").alias("a"), "first").join(p.select(F.col("n").alias("b"), "first"), "first").where("a < b")
+    p = distinct_names(spark, d)
+    pairs = p.select(F.col("n").alias("a")).crossJoin(p.select(F.col("n").alias("b"))).where("a < b")
     return pairs.select("a", "b", fuzzy.scores(F.col("a"), F.col("b")).alias("s")).select("a", "b", "s.*")
 
 
