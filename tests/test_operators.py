@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -10,12 +11,18 @@ from verifold.plans.profiles import alias_table, keyword_table
 from verifold.streaming import log_stream
 
 
-def best_by_hand(text, kw):
-    """The best of the four metrics over everything that a keyword is looked for in."""
-    if kw in " ".join(text.lower().split()):
+def best_by_hand(text, kw, kind="flat"):
+    """The best of the metrics over everything that a keyword is looked for in."""
+    norm = " ".join(text.lower().split())
+    if kw in norm:
         return 100.0
     parts = [" ".join(p.lower().split()) for p in re.split(r"[|\n•·]", text)]
-    return max((m(p, kw) for p in parts if p for m in (fuzzy.partial_ratio, fuzzy.token_sort_ratio, fuzzy.token_set_ratio, fuzzy.wratio)), default=0.0)
+    parts = [p for p in parts if p]
+    places = [norm, *parts, *map(" ".join, zip(parts, parts[1:])), *map(" ".join, zip(parts, parts[1:], parts[2:])), norm.replace(" ", "")]
+    if " " not in kw and len(kw) <= 12 and any(kw in p.replace(" ", "") for p in places):
+        return 100.0
+    metrics = [fuzzy.partial_ratio, fuzzy.token_sort_ratio, fuzzy.token_set_ratio] + ([fuzzy.wratio] if kind != "excluded" else [])
+    return max((m(p, kw) for p in places if p for m in metrics), default=0.0)
 
 
 def test_gates(spark):
@@ -76,6 +83,20 @@ def test_keyword_scores_fuzzy_of_all_documents(spark, tmp_path):
         assert abs(score - want) < 1e-9 and hit == (want >= 70), (i, kw)
 
 
+def test_keywords_over_line_ends(spark):
+    rng = random.Random(4)
+    letters = "abeghnort  ||\n"
+    texts = ["x noth1ng\n0ther y", "t o g e t h e r", "toge | ther", "tog\n\neth • er", "other | things and nothing", "r", "é together".replace("g", "q")]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.choice((3, 9, 14, 40, 150)))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = keyword_table(spark, {"p": {"flat": ["together", "nothing other", "the there the"], "excluded": ["together", "other nothing"]}})
+    got = keywords.score(docs, table, fuzzy=True).collect()
+    assert len(got) == 5 * len(texts)
+    for r in got:
+        assert abs(r.score - best_by_hand(texts[r.doc_id], r.kw, r.kind)) < 1e-9, (texts[r.doc_id], r)
+    assert {r.doc_id: r.score for r in got if r.kw == "together"}[1] == 100
+
+
 def test_names_of_other_first_words_meet(spark, tmp_path):
     names = ["green bolt", "gren bolt", "bolt green", "red nut"]
     spark.createDataFrame([(n,) for n in [*names, "red nut"]], "p_name string").write.parquet(str(tmp_path / "part.parquet"))

@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fuzzy import scores as fuzzy_scores
+from ..functions.fuzzy import keyword_score
 
 
 def score(docs: DataFrame, keywords: DataFrame, fuzzy: bool = False, minimum: float = 70.0) -> DataFrame:
     """doc_id x keyword with its score (0-100) and hit.
 
     A keyword in the normalised text scores 100 and skips the fuzzy metrics; otherwise it
-    scores 0, or with fuzzy the best of four metrics over the text's segments.
+    scores 0, or with fuzzy the best of four metrics over the whole text, its segments, windows of
+    two and three neighbouring segments and the text without spaces; a keyword of up to 12 letters
+    without a space scores 100 where one of these holds it once spaces are gone.
     """
     text = T.normalize(F.coalesce("text", F.lit("")))
     pairs = docs.select("doc_id", text.alias("norm"), "text").join(F.broadcast(keywords.withColumn("key", T.normalize_keyword(F.col("kw")))))
@@ -26,12 +28,10 @@ def score(docs: DataFrame, keywords: DataFrame, fuzzy: bool = False, minimum: fl
     if not fuzzy:
         return pairs.select("doc_id", *keywords.columns, F.when(exact, 100.0).otherwise(0.0).alias("score"), exact.alias("hit"))
     sure = pairs.where(exact).select("doc_id", *keywords.columns, F.lit(100.0).alias("score"))
-    parts = F.array_distinct(F.transform(T.segments(F.coalesce("text", F.lit(""))), T.normalize))
-    rest = pairs.where(~exact).select("doc_id", "key", *keywords.columns, F.explode_outer(parts).alias("part"))
+    parts = F.filter(F.transform(T.segments(F.coalesce("text", F.lit(""))), T.normalize), lambda p: p != "")
     # Excluded keywords leave the weighted ratio out: one shared word would reach it.
-    s = fuzzy_scores(F.coalesce("part", F.lit("")), F.col("key"))
-    best = F.when(F.col("kind") == "excluded", F.greatest(s["partial_ratio"], s["token_sort_ratio"], s["token_set_ratio"])).otherwise(s["best"])
-    rest = rest.select("doc_id", *keywords.columns, best.alias("score")).groupBy("doc_id", *keywords.columns).agg(F.max("score").alias("score"))
+    best = keyword_score(F.col("norm"), parts, F.col("key"), F.col("kind") != "excluded")
+    rest = pairs.where(~exact).select("doc_id", *keywords.columns, best.alias("score"))
     return sure.unionByName(rest).withColumn("hit", F.col("score") >= minimum)
 
 
