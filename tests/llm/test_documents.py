@@ -79,6 +79,14 @@ def test_bpe(spark, docs, none):
         ids = np.array(library.encode_ordinary(t), "<u4")
         assert (r.doc_id, r.n_tokens) == (i, len(ids)) and r.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    rng = np.random.default_rng(3)
+    letters = ["  ", " ", "a", "B", "9", "é", "漢", "\n", "\t", "　", "'s", ".", "\x1c", "\x85", "the", "==", "\r\n"]
+    odd = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(3000)]
+    odd += ["".join(rng.choice(list(a), 390)) for a in ("abcdefghijklmnopqrstuvwxyz", "0123456789", "acgt", "ab", "=-") for _ in range(8)] + ["a" * 20000, "=" * 3001]
+    own = byte_bpe.Codec(byte_bpe.read_ranks(path), tokenizers.PATTERN)
+    ids, sizes = own.encode(odd)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode_ordinary(t) for t in odd]
+    assert own.decode(ids, sizes) == [t.encode() for t in odd]
     encoded = byte_bpe.encode(docs, path, tokenizers.PATTERN)
     assert [bytes(r.decoded).decode() for r in byte_bpe.decode(encoded, path, tokenizers.PATTERN).collect()] == [t for _, t in each(docs)]
 

@@ -1,61 +1,108 @@
 """Byte-level BPE, encoding and decoding, by DuckDB recursive queries inside each partition.
 
-A text is cut by the split pattern; the distinct pieces that a worker hasn't met are loaded as
-token-position rows (word, position, next position, token, right token), and one recursive
-query joins them with the merge table and contracts every word's leftmost pair of minimum rank
-until no pair merges.  Decoding joins token rows with the vocabulary and puts the bytes
-together by an ordered aggregate.
+A text is cut by the split pattern; the distinct words that a worker hasn't met are loaded as
+token-position rows (position, token, next token), and one recursive query joins them with the
+merge table, step by step until no pair merges.  In each step a word's leftmost pair of minimum
+rank is contracted, and with it every pair whose contraction no pair of a lower rank can come
+before: what it might lose a side to, or grow into, is read from the vocabulary (see BESIDE).
+So steps are few for words of any length, and the ids are those of one contraction at a time.
+Decoding joins token rows with the vocabulary and puts the bytes together by an ordered aggregate.
 
 Every document is handled where it is read: nothing is shuffled, and a lost executor costs its
-tasks alone.  What workers remember (pieces and their ids) is bounded and only saves work.
+tasks alone.  What workers remember (words and their ids) is bounded in bytes and only saves
+work; texts are handled about CHUNK bytes at a time, long ones in parts cut before white space.
 
 Defined results: a null or empty text has no ids; repeated rows are encoded one by one; null
-doc_ids pass through; other columns are never read.  Words longer than LONG_WORD bytes are
-contracted one at a time with a heap, because their token rows would be scanned once a merge.
+doc_ids pass through; other columns are never read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from . import common
+from .common import Memory
 
-LONG_WORD = 400
-#: Remembered entries of one generation (of two) in a worker.
-REMEMBERED = 450_000
 #: Unicode white space; Python's own class has four control characters more.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: White space beside a space, where the pieces between single spaces are not the segments.
+ODD = re.compile(f"[{SPACE}] | [{SPACE}]")
+CUT = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 SHIFT = 1 << 20  # ids are below this
+CHUNK = 4 << 20  # bytes of text at a time
+ROWS = 1 << 19  # token rows of one recursion, about
+MARKS = frozenset(".,;:!?")
+
+#: What the vocabulary says about two tokens side by side.  A pair that no token has in it never
+#: merges, nor does anything across it.  m: the token that both make.  onward, back: the least
+#: token (its rank) that begins or ends with both.  solid: no token that m is a side of is of a lower rank than m.
+BESIDE = f"""
+CREATE TABLE beside AS
+WITH cut AS (
+  SELECT t AS u, piece, length(piece) + 1 AS n, i, unnest(range(i + 1, length(piece) + 2)) AS j
+  FROM (SELECT *, unnest(range(1, length(piece) + 1)) AS i FROM vocabulary)),
+part AS (SELECT u, n, i, j, v.t FROM cut JOIN vocabulary v ON v.piece = substr(cut.piece, i, j - i)),
+pairs AS (
+  SELECT x.t::BIGINT * {SHIFT} + y.t AS pair, min(x.u) FILTER (WHERE x.i = 1 AND y.j = y.n) AS m,
+         min(x.u) FILTER (WHERE x.i = 1) AS onward, min(x.u) FILTER (WHERE y.j = y.n) AS back
+  FROM part x JOIN part y ON x.u = y.u AND x.j = y.i GROUP BY 1),
+loose AS (SELECT DISTINCT side FROM (SELECT unnest([pair // {SHIFT}, pair % {SHIFT}]) AS side, m FROM pairs WHERE m IS NOT NULL) WHERE m < side)
+SELECT pair, m, onward, back, m IS NOT NULL AND side IS NULL AS solid FROM pairs LEFT JOIN loose ON side = m
+"""
 
+#: rows_in: g (position, over all words), t (token), b (the word's next token, null at its end).
+#: strict: the pair (t, b) of rank m is contracted before anything that could take t or b from it:
+#: every token that begins with b and what follows, or ends with what precedes and t, is of a higher rank.
+#: The first steps contract such pairs alone, which takes one sort; a token between two dead borders is done.
+#: Later steps see to the rest.  Tokens between two dead borders are a part; of each the least pair is
+#: contracted, strict ones, and of a run of ties after a strict one every second (tie: strict but
+#: for the equal pair one place before, as in runs of one letter); parts in which nothing merges are done.
+JOINED = f"""
+SELECT a.step, a.g, a.t, e.m, e.solid, e.onward, e.back, e.pair IS NOT NULL AS alive
+FROM s a LEFT JOIN beside e ON e.pair = a.t::BIGINT * {SHIFT} + a.b WHERE NOT a.done"""
+_AT = {i: (lambda c, i=i: c if not i else f"lead({c}, {i}) OVER o" if i > 0 else f"lag({c}, {-i}) OVER o") for i in range(-2, 4)}
+_STRICT = {i: f"(coalesce({_AT[i]('solid')}, false) AND {_AT[i]('m')} <= coalesce({_AT[i + 1]('onward')}, {SHIFT}) AND {_AT[i]('m')} < coalesce({_AT[i - 1]('back')}, {SHIFT}))" for i in range(-1, 3)}
+_NOW = {i: f"CASE WHEN {_STRICT[i]} THEN {_AT[i]('m')} ELSE {_AT[i]('t')} END" for i in range(3)}
 CONTRACT = f"""
 WITH RECURSIVE s AS (
-  SELECT 0 AS step, a.w, a.p, a.t, a.r, (m.token << 32) + a.p AS k
-  FROM rows_in a LEFT JOIN merges m ON m.pair = a.t::BIGINT * {SHIFT} + a.r
+  SELECT 0 AS step, g, t, b, false AS done FROM rows_in
+  UNION ALL (
+  SELECT step, g, now, next, lone FROM (
+    SELECT step + 1 AS step, g, {_NOW[0]} AS now, {_STRICT[-1]} AS eaten, NOT alive AND NOT coalesce({_AT[-1]('alive')}, false) AS lone,
+           CASE WHEN {_STRICT[0]} THEN CASE WHEN {_AT[1]('alive')} THEN {_NOW[2]} END WHEN alive THEN {_NOW[1]} END AS next
+    FROM ({JOINED} AND a.step < 3) WINDOW o AS (ORDER BY g))
+  WHERE NOT eaten
   UNION ALL
-  SELECT a.step, a.w, a.p, a.t, a.r, (m.token << 32) + a.p
-  FROM (
-    SELECT s.step + 1 AS step, s.w, s.p,
-           CASE WHEN s.k = b.k THEN (b.k >> 32)::INT ELSE s.t END AS t,
-           CASE WHEN s.k = b.k THEN b.after_next WHEN s.p = b.before THEN (b.k >> 32)::INT ELSE s.r END AS r
-    FROM s JOIN (
-      SELECT x.w, x.k, min(y.p) FILTER (WHERE y.p > x.p) AS next, max(y.p) FILTER (WHERE y.p < x.p) AS before,
-             arg_min(y.r, y.p) FILTER (WHERE y.p > x.p) AS after_next
-      FROM (SELECT w, min(k) AS k, (min(k) & 4294967295)::INT AS p FROM s WHERE k IS NOT NULL GROUP BY w) x
-      JOIN s y ON y.w = x.w GROUP BY x.w, x.k) b ON b.w = s.w
-    WHERE s.p <> b.next
-  ) a LEFT JOIN merges m ON m.pair = a.t::BIGINT * {SHIFT} + a.r
+  SELECT 3, g, now, CASE WHEN c THEN after_next ELSE next END, least IS NULL FROM (
+    SELECT g, now, c, least, lag(c) OVER o AS eaten,
+           CASE WHEN alive THEN lead(now) OVER o END AS next,
+           CASE WHEN lead(alive) OVER o THEN lead(now, 2) OVER o END AS after_next
+    FROM (
+      SELECT g, alive, least, c, CASE WHEN c THEN m ELSE t END AS now FROM (
+        SELECT g, t, m, alive, least,
+               m IS NOT NULL AND (k = least OR strict OR (tie AND first & 1 = 1 AND (number - first // 2) & 1 = 0)) AS c
+        FROM (
+          SELECT *, min(k) OVER (PARTITION BY part) AS least FROM (
+            SELECT *, max(CASE WHEN NOT tie THEN number * 2 + strict::INT END) OVER (ORDER BY g ROWS UNBOUNDED PRECEDING) AS first FROM (
+              SELECT g, t, m, alive, (m::BIGINT << 32) + g AS k, row_number() OVER o AS number, {_STRICT[0]} AS strict,
+                     sum((NOT alive)::INT) OVER (ORDER BY g ROWS UNBOUNDED PRECEDING) - (NOT alive)::INT AS part,
+                     coalesce(solid AND m <= coalesce(lead(onward) OVER o, {SHIFT}) AND m = lag(back) OVER o AND m = lag(m) OVER o, false) AS tie
+              FROM ({JOINED} AND a.step >= 3)
+              WINDOW o AS (ORDER BY g)))))) WINDOW o AS (ORDER BY g))
+  WHERE eaten IS NOT TRUE)
 )
-SELECT w, list(t ORDER BY p) AS ids FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step) GROUP BY w ORDER BY w
+SELECT g, t FROM s WHERE done ORDER BY g
 """
 DECODE = "SELECT run, string_agg(piece, '' ORDER BY p) AS piece FROM token_rows JOIN vocabulary USING (t) GROUP BY run ORDER BY run"
 
@@ -70,56 +117,53 @@ def own_spaces(pattern: str) -> str:
     return pattern.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]")
 
 
-MARKS = frozenset(".,;:!?")
+def _connect(threads: int, megabytes: int):
+    import duckdb
+
+    return duckdb.connect(config={"threads": threads, "memory_limit": f"{megabytes}MB", "preserve_insertion_order": False})
 
 
-class Memory(dict):
-    """A dict of two generations: when the young one is full it becomes the old one."""
+def _load(sql, **tables: pa.Table) -> None:
+    for name, table in tables.items():
+        sql.register("loaded", table)
+        sql.execute(f"CREATE TABLE {name} AS FROM loaded")
+        sql.unregister("loaded")
 
-    def __init__(self, size: int = REMEMBERED):
-        super().__init__()
-        self.size, self.old = size, {}
 
-    def __missing__(self, key):
-        value = self[key] = self.old[key]  # KeyError: not known
-        return value
+def _vocabulary(ranks: dict[bytes, int]) -> pa.Table:
+    return pa.table({"t": pa.array(ranks.values(), pa.int32()), "piece": [b.decode("latin-1") for b in ranks]})
 
-    def knows(self, key) -> bool:
-        if key in self:
-            return True
-        if key in self.old:
-            self[key] = self.old[key]
-            return True
-        return False
 
-    def turn(self) -> None:
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
+def beside(ranks: dict[bytes, int]) -> pa.Table:
+    """The BESIDE table of a vocabulary, some MB."""
+    sql = _connect(4, 700)
+    _load(sql, vocabulary=_vocabulary(ranks))
+    sql.execute(BESIDE)
+    found = sql.sql("SELECT pair, m::INT AS m, onward::INT AS onward, back::INT AS back, solid FROM beside").to_arrow_table()
+    sql.close()
+    return found
 
 
 class Codec:
     """ranks: bytes of each token to its id, which is its rank.  pattern: how texts are split."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import duckdb
-
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: pa.Table | None = None):
         self.ranks, self.split = ranks, regex.compile(own_spaces(pattern))
         # whether the pattern takes a space with letters, and a mark by itself
         self.plain = all(self.split.findall(a + b) == [a, *b] for a, b in ((" é", "."), (" ñandú", "!"), (" 漢字", ","), (" ªº", "")))
-        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
-        pairs = [(ranks[t[:i]] * SHIFT + ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        for name, table in (
-            ("merges", pa.table({"pair": pa.array([a for a, _ in pairs], pa.int64()), "token": pa.array([b for _, b in pairs], pa.int64())})),
-            ("vocabulary", pa.table({"t": pa.array(ranks.values(), pa.int32()), "piece": [b.decode("latin-1") for b in ranks]})),
-        ):
-            self.sql.register("loaded", table)
-            self.sql.execute(f"CREATE TABLE {name} AS FROM loaded")
-            self.sql.unregister("loaded")
+        self.sql = _connect(1, 200)
+        _load(self.sql, vocabulary=_vocabulary(ranks), beside=beside(ranks) if pairs is None else pairs)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        live = np.zeros(max(ranks.values()) + 1, np.int64)
+        live[self.of_byte] = np.arange(256)
+        pair = self.sql.sql(f"SELECT pair // {SHIFT} AS a, pair % {SHIFT} AS b FROM beside").to_arrow_table()
+        a, b = (pair.column(c).to_numpy() for c in "ab")
+        both = np.isin(a, self.of_byte) & np.isin(b, self.of_byte)
+        self.dead = np.ones((256, 256), bool)
+        self.dead[live[a[both]], live[b[both]]] = False
         self.starts = np.zeros(max(ranks.values()) + 1, bool)
-        self.starts[[i for t, i in ranks.items() if t[:1] == b" "]] = True
-        self.tokens, self.pieces, self.runs = Memory(), Memory(), Memory(REMEMBERED // 2)
+        self.starts[[i for t, i in ranks.items() if t[0] < 128 and not t[:1].isalnum()]] = True
+        self.tokens, self.units, self.runs = Memory(20 << 20), Memory(40 << 20), Memory(24 << 20)
 
     def query(self, sql: str, **tables: pa.Table) -> pa.Table:
         for name, table in tables.items():
@@ -133,180 +177,198 @@ class Codec:
     # -- encoding
     def contract(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, packed as little-endian 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
-        rows = []
-        for i, w in enumerate(words):
-            if (whole := self.ranks.get(w)) is not None:
-                out[i] = whole.to_bytes(4, "little")
-            elif len(w) > LONG_WORD:
-                out[i] = self.contract_long(w)
-            elif w:
-                rows.append(i)
-        for at in range(0, len(rows), 50_000):  # bounds what one recursion holds
-            part = rows[at : at + 50_000]
-            flat = self.of_byte[np.frombuffer(b"".join(words[i] for i in part), np.uint8)]
-            lengths = np.array([len(words[i]) for i in part])
-            w = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
-            p = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            r = np.append(flat[1:], -1).astype(np.int32)
-            r[np.cumsum(lengths) - 1] = -1
-            ids = self.query(CONTRACT, rows_in=pa.table({"w": w, "p": p, "t": flat, "r": r})).column("ids").combine_chunks()
-            offsets, packed = ids.offsets.to_pylist(), ids.values.to_numpy().astype("<u4").tobytes()
-            for i, a, b in zip(part, offsets, offsets[1:], strict=False):
-                out[i] = packed[4 * a : 4 * b]
+        out = [b"" if not w else b"" if (whole := self.ranks.get(w)) is None else whole.to_bytes(4, "little") for w in words]
+        rows = [i for i, w in enumerate(words) if w and not out[i]]
+        for part in common.slices(rows, CHUNK, lambda i: len(words[i])):
+            raw = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
+            ends = np.cumsum([len(words[i]) for i in part])
+            last = np.append(self.dead[raw[:-1], raw[1:]], True)  # nothing merges across these places
+            last[ends - 1] = True
+            ids, places, lo = [], [], 0
+            while lo < len(raw):  # bounds what one recursion holds
+                hi = lo + ROWS
+                hi = len(raw) if hi >= len(raw) else hi + int(np.argmax(last[hi:])) + 1
+                t = self.of_byte[raw[lo:hi]]
+                rows_in = pa.table({"g": np.arange(lo, hi, dtype=np.int32), "t": t, "b": pa.array(np.append(t[1:], 0), pa.int32(), mask=last[lo:hi])})
+                got = self.query(CONTRACT, rows_in=rows_in)
+                ids.append(got.column("t").to_numpy())
+                places.append(got.column("g").to_numpy())
+                lo = hi
+            packed = np.concatenate(ids).astype("<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.concatenate(places), np.append(0, ends))).tolist()
+            for i, a, b in zip(part, cuts, cuts[1:], strict=False):
+                out[i] = packed[a:b]
         return out
 
-    def contract_long(self, word: bytes) -> bytes:
-        token = list(self.of_byte[np.frombuffer(word, np.uint8)].tolist())
-        piece: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        nxt, prv = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if 0 <= i and (j := nxt[i]) < len(word) and (rank := self.ranks.get(piece[i] + piece[j])) is not None:
-                heapq.heappush(heap, (rank, i, j))
-
-        for i in range(len(word)):
-            offer(i)
-        while heap:
-            rank, i, j = heapq.heappop(heap)
-            if piece[i] is None or nxt[i] != j or j >= len(word) or piece[j] is None or self.ranks.get(piece[i] + piece[j]) != rank:
-                continue
-            piece[i], token[i], piece[j] = piece[i] + piece[j], rank, None
-            nxt[i] = nxt[j]
-            if nxt[i] < len(word):
-                prv[nxt[i]] = i
-            offer(prv[i])
-            offer(i)
-        return np.array([t for t, b in zip(token, piece, strict=True) if b is not None], "<u4").tobytes()
-
-    def learn(self, tokens: set[str]) -> None:
-        new = [t for t in tokens if not self.tokens.knows(t)]
-        self.tokens.update(zip(new, self.contract([t.encode() for t in new]), strict=True))
-
-    def cut(self, piece: str) -> list[str] | None:
-        """The tokens' texts of a space and a piece; None if white space is at the piece's ends."""
-        if self.plain:  # letters, and one mark after them, need no pattern
-            if piece.isalpha():
-                return [" " + piece]
-            if piece[-1:] in MARKS and piece[:-1].isalpha():
-                return [" " + piece[:-1], piece[-1]]
-        return None if not piece or piece[0].isspace() or piece[-1].isspace() else self.split.findall(" " + piece)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text.
+    def learn(self, units: list[str], matches: list[list[str]]) -> list[bytes]:
+        """The packed ids of units, which the pattern cuts into these matches."""
+        new = self.tokens.missing(set().union(*matches))
+        self.tokens.store(new, self.contract([t.encode() for t in new]))
+        return [b"".join(map(self.tokens.__getitem__, m)) for m in matches]
+
+    def cut(self, unit: str) -> list[str]:
+        if self.plain and unit[:1] == " ":  # letters, and one mark after them, need no pattern
+            if unit[1:].isalpha():
+                return [unit]
+            if unit[-1] in MARKS and unit[1:-1].isalpha():
+                return [unit[:-1], unit[-1]]
+        return self.split.findall(unit)
+
+    def ids_of(self, units: list[str]) -> list[bytes]:
+        """The packed ids of distinct units."""
+        new = self.units.missing(units)
+        self.units.store(new, self.learn(new, [self.cut(u) for u in new]))
+        out = list(map(self.units.__getitem__, units))
+        self.units.turn()
+        self.tokens.turn()
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and each text's number of them.
 
         A run of white space and the characters after it are tokenised alike in any
-        surroundings, so distinct runs are split once.  ``str.split(" ")`` gives them where
-        single spaces alone are beside spaces; other texts are cut by SEGMENT.
+        surroundings: such units are looked up once a chunk, and the ids put together by their codes.
         """
-        parts = [t.split(" ") for t in texts]
-        new: dict[str, list[str] | None] = {}
-        for piece in set().union(*parts):
-            if not self.pieces.knows(piece):
-                new[piece] = self.cut(piece)
-        first = [self.split.findall(p[0]) for p in parts]
-        self.learn(set().union(*first, *(x for x in new.values() if x)))
-        ids = self.tokens
-        self.pieces.update({k: v and b"".join(map(ids.__getitem__, v)) for k, v in new.items()})
-        out: list[bytes] = []
-        left: list[tuple[int, list[list[str]]]] = []
-        for i, (head, part) in enumerate(zip(first, parts, strict=True)):
-            try:
-                if len(part) > 1 and self.pieces.get(part[0], b"") is None or part[0][-1:].isspace() and len(part) > 1:
-                    raise TypeError
-                out.append(b"".join(map(ids.__getitem__, head)) + b"".join(map(self.pieces.__getitem__, part[1:])))
-            except TypeError:  # a None: white space beside a space
-                out.append(b"")
-                left.append((i, [self.split.findall(s) for s in SEGMENT.findall(texts[i])]))
-        if left:
-            self.learn({t for _, segments in left for s in segments for t in s})
-            for i, segments in left:
-                out[i] = b"".join(ids[t] for s in segments for t in s)
-        self.tokens.turn()
-        self.pieces.turn()
-        return out
+        ids, sizes = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        for part in common.slices(_parts(texts), CHUNK, lambda p: len(p[1])):
+            got, n = self._encode([t for _, t in part])
+            ids.append(got)
+            np.add.at(sizes, [i for i, _ in part], n)
+        return np.concatenate(ids), sizes
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [ODD.search(t) is not None for t in texts]
+        pieces = pc.split_pattern(pa.array([None if o else t for o, t in zip(odd, texts, strict=True)], pa.large_string()), " ")
+        offsets = pieces.offsets.to_numpy()
+        coded = pieces.flatten().dictionary_encode()
+        codes, units = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), [" " + u for u in coded.dictionary.to_pylist()]
+        number: dict[str, int] = {}  # of the units that don't begin with a space of their own
+        place = lambda u: number.setdefault(u, len(units) + len(number))
+        each = []
+        for i, (o, t) in enumerate(zip(odd, texts, strict=True)):
+            if o:
+                each.append(np.fromiter(map(place, SEGMENT.findall(t)), np.int64))
+            else:
+                codes[offsets[i]] = place(t.partition(" ")[0])
+                each.append(codes[offsets[i] : offsets[i + 1]])
+        packed = self.ids_of(units + list(number))
+        length = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        flat, at = np.frombuffer(b"".join(packed), "<u4").astype(np.int32), np.cumsum(length) - length
+        codes = np.concatenate(each) if each else np.zeros(0, np.int64)
+        n = length[codes]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(at[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.append(0, ends)[np.append(0, np.cumsum([len(e) for e in each], dtype=np.int64))]
+        return ids, np.diff(upto)
 
     # -- decoding
-    def decode(self, packed: list[bytes]) -> list[bytes]:
-        """The bytes of each id sequence.  Runs that begin at a token with a leading space are aggregated once."""
-        cut: list[list[bytes]] = []
-        for ids in packed:
-            at = (np.flatnonzero(self.starts[np.frombuffer(ids, "<u4")]) * 4).tolist()
-            cut.append([ids[a:b] for a, b in zip([0, *at], [*at, len(ids)], strict=True) if a < b])
-        new = [r for r in set().union(*cut) if not self.runs.knows(r)]
-        for at in range(0, len(new), 100_000):
-            part = new[at : at + 100_000]
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of sequences of ids that stand in a row.  Runs that begin with a space or a mark are put together once a chunk."""
+        out, ends = [], np.cumsum(sizes)
+        for part in common.slices(list(range(len(sizes))), CHUNK // 4, sizes.__getitem__):
+            lo = ends[part[0]] - sizes[part[0]]
+            out += self._decode(ids[lo : ends[part[-1]]], ends[part] - lo)
+        return out
+
+    def _decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        first = self.starts[ids]
+        first[::4096] = True  # bounds a run; bytes are put together the same wherever ids are cut
+        first[np.append(0, ends)[:-1][np.diff(np.append(0, ends)) > 0]] = True
+        at = np.append(np.flatnonzero(first), len(ids))
+        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]).dictionary_encode()
+        distinct = runs.dictionary.to_pylist()
+        new = self.runs.missing(distinct)
+        for part in common.slices(new, 4 * ROWS, len):
             flat = np.frombuffer(b"".join(part), "<u4").astype(np.int32)
             lengths = np.array([len(r) // 4 for r in part])
             run = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
             p = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
             pieces = self.query(DECODE, token_rows=pa.table({"run": run, "p": p, "t": flat})).column("piece").to_pylist()
-            self.runs.update(zip(part, (s.encode("latin-1") for s in pieces), strict=True))
-        out = [b"".join(map(self.runs.__getitem__, runs)) for runs in cut]
+            self.runs.store(part, [s.encode("latin-1") for s in pieces])
+        known = pa.array(list(map(self.runs.__getitem__, distinct)), pa.large_binary())
         self.runs.turn()
-        return out
+        made = known.take(runs.indices)
+        offsets = np.frombuffer(made.buffers()[1], np.int64, len(made) + 1, 8 * made.offset) if len(made) else np.zeros(1, np.int64)
+        cuts, data = offsets[np.searchsorted(at, np.append(0, ends))], memoryview(made.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+def _parts(texts: list[str]) -> Iterator[tuple[int, str]]:
+    """Texts by number, long ones in parts that are cut before white space that follows other characters."""
+    for i, text in enumerate(texts):
+        at = 0
+        while len(text) - at > CHUNK and (cut := CUT.search(text, at + CHUNK // 2)):
+            yield i, text[at : cut.start()]
+            at = cut.start()
+        yield i, text[at:]
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """One for each worker process and vocabulary."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(read_ranks(path), pattern)
-    return _codecs[path, pattern]
+_codecs: dict[str, Codec] = {}
 
 
-def _map(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], schema: str, column: str = "text") -> DataFrame:
+def _map(docs: DataFrame, path: str, pattern: str, fn: Callable[[Codec, pa.RecordBatch], list[pa.Array]], schema: str, column: str = "text") -> DataFrame:
     arrow = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}[k]) for n, k in (x.split() for x in schema.split(", "))])
+    held, tag = docs.sparkSession.sparkContext.broadcast(_tables(path)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *fn(batch)], schema=arrow)
+        if tag not in _codecs:  # one for each worker process and query
+            _codecs.clear()
+            ranks, pairs = held.value
+            _codecs[tag] = Codec(ranks, pattern, pairs)
+        for some in common.slices(batches, CHUNK, lambda b: b.nbytes):
+            batch = pa.Table.from_batches(some).combine_chunks().to_batches()
+            for b in batch:
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *fn(_codecs[tag], b)], schema=arrow)
 
-    return common.map_batches(docs.select("doc_id", column), run, schema, 4096)  # fewer batches meet a word again
+    return common.map_batches(docs.select("doc_id", column), run, schema)
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [t or "" for t in batch.column(1).to_pylist()]
+_known: dict[str, tuple[dict[bytes, int], pa.Table]] = {}
+
+
+def _tables(path: str) -> tuple[dict[bytes, int], pa.Table]:
+    """The vocabulary and its BESIDE table, made once on the driver (a function of the vocabulary file alone: some MB)."""
+    if path not in _known:
+        ranks = read_ranks(path)
+        _known[path] = ranks, beside(ranks)
+    return _known[path]
 
 
-def id_lists(packed: list[bytes]) -> pa.Array:
-    offsets = np.cumsum([0, *(len(x) // 4 for x in packed)])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    return [t or "" for t in batch.column(1).to_pylist()]
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>) of ``docs(doc_id, text)``."""
 
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        packed = codec(path, pattern).encode(_texts(batch))
-        return [pa.array([len(x) // 4 for x in packed], pa.int64()), id_lists(packed)]
+    def run(own: Codec, batch: pa.RecordBatch) -> list[pa.Array]:
+        ids, sizes = own.encode(_texts(batch))
+        return [pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))]
 
-    return _map(docs, run, "doc_id long, n_tokens long, ids array<int>")
+    return _map(docs, path, pattern, run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the decoded bytes of ``encoded(doc_id, ids)``; null ids decode to nothing."""
 
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        packed = [np.array(x or [], "<u4").tobytes() for x in batch.column(1).to_pylist()]
-        return [pa.array(codec(path, pattern).decode(packed), pa.binary())]
+    def run(own: Codec, batch: pa.RecordBatch) -> list[pa.Array]:
+        lists = batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return [pa.array(own.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), sizes), pa.binary())]
 
-    return _map(encoded, run, "doc_id long, decoded binary", "ids")
+    return _map(encoded, path, pattern, run, "doc_id long, decoded binary", "ids")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode, then decode the ids: their number and the digests of both, without keeping either."""
 
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        own = codec(path, pattern)
-        packed = own.encode(_texts(batch))
+    def run(own: Codec, batch: pa.RecordBatch) -> list[pa.Array]:
+        ids, sizes = own.encode(_texts(batch))
+        raw, cuts = memoryview(ids.astype("<u4").tobytes()), np.append(0, 4 * np.cumsum(sizes)).tolist()
         return [
-            pa.array([len(x) // 4 for x in packed], pa.int64()),
-            pa.array([hashlib.sha256(x).hexdigest() for x in packed]),
-            pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(packed)]),
+            pa.array(sizes),
+            pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]),
+            pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(ids, sizes)]),
         ]
 
-    return _map(docs, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _map(docs, path, pattern, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,21 +19,76 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
+#: What an entry of a Memory takes besides its key's and value's bytes, about.
+ENTRY = 200
+
+
+class Memory(dict):
+    """A dict of two generations, each of so many bytes: when the young one is full it becomes the old one.
+
+    Keys, and values that are bytes or text, count by their length.
+    """
+
+    def __init__(self, most: int = 40 << 20):
+        super().__init__()
+        self.most, self.held, self.old = most, 0, {}
+
+    def __missing__(self, key):
+        value = self.old[key]  # KeyError: not known
+        self.store([key], [value])
+        return value
+
+    def missing(self, keys) -> list:
+        """Those that neither generation knows; what the old one knows comes to the young one."""
+        new = [k for k in keys if k not in self]
+        if self.old and new:
+            met = [k for k in new if k in self.old]
+            self.store(met, [self.old[k] for k in met])
+            new = [k for k in new if k not in self]
+        return new
+
+    def store(self, keys: list, values: list) -> None:
+        self.update(zip(keys, values, strict=True))
+        self.held += ENTRY * len(keys) + sum(map(len, keys))
+        if values and isinstance(values[0], (bytes, str)):
+            self.held += sum(map(len, values))
+
+    def turn(self) -> None:
+        if self.held > self.most:
+            self.old = dict(self) if self.held < 2 * self.most else {}
+            self.clear()
+            self.held = 0
+
+
+def slices(items: Iterable, most: int, size: Callable[..., int]) -> Iterator[list]:
+    """Items in order, of about so much size at a time."""
+    part, held = [], 0
+    for x in items:
+        part.append(x)
+        held += size(x)
+        if held >= most:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; others, whatever they are called, are never read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def bound_batches(spark: SparkSession, rows: int) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    except Exception:  # a Spark without that setting has the bound in rows alone
-        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
-
-
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    bound_batches(df.sparkSession, rows)
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow under the bounds of a batch, which are the same for every operator; smaller ones of the session stay."""
+    spark = df.sparkSession
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        try:
+            now = spark.conf.get(key).lower().removesuffix("b")
+        except Exception:  # a Spark without that setting
+            continue
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
     return df.mapInArrow(fn, schema)
 
 

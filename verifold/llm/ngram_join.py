@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .byte_bpe import Memory
+from .common import Memory
 from .components import components
 
 U = np.uint64
@@ -80,9 +80,8 @@ class Shingles:
         try:
             w = np.fromiter(map(memory.__getitem__, words), U, len(words))
         except KeyError:
-            for x in set(words):
-                if not memory.knows(x):
-                    memory[x] = xxhash.xxh3_64_intdigest(x)
+            new = memory.missing(set(words))
+            memory.store(new, list(map(xxhash.xxh3_64_intdigest, new)))
             w = np.fromiter(map(memory.__getitem__, words), U, len(words))
             memory.turn()
         k = min(self.words, len(w))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .byte_bpe import Memory
+from .common import Memory
 
 SCHEMA = "doc_id long, offset long, n_tokens long, ids array<int>"
 LAYOUT = {
@@ -70,7 +70,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words, self.stems = Memory(200_000), Memory(200_000)
+        self.words, self.stems = Memory(48 << 20), Memory(48 << 20)
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -79,17 +79,16 @@ class Encoder:
         """The ids of each text as packed little-endian 32-bit integers."""
         cut = [t.split() for t in texts]
         plain, lower, marked = [], [], []
-        for w in set().union(*cut):
-            if not self.words.knows(w):
-                if w[-1] in MARKS or b"<|" in w:
-                    marked.append((w, *stem_of(w)))
-                else:
-                    plain.append(w)
-                    lower.append(w.lower())
+        for w in self.words.missing(set().union(*cut)):
+            if w[-1] in MARKS or b"<|" in w:
+                marked.append((w, *stem_of(w)))
+            else:
+                plain.append(w)
+                lower.append(w.lower())
         self.learn({*lower, *(x for _, a, b in marked for x in (a, b))})
         stems = self.stems
-        self.words.update(zip(plain, map(stems.__getitem__, lower), strict=True))
-        self.words.update((w, stems[a] + stems[b]) for w, a, b in marked)
+        self.words.store(plain, list(map(stems.__getitem__, lower)))
+        self.words.store([w for w, *_ in marked], [stems[a] + stems[b] for _, a, b in marked])
         tail = b"" if end is None else np.uint32(end).astype("<u4").tobytes()
         out = [b"".join(map(self.words.__getitem__, words)) + tail for words in cut]
         self.words.turn()
@@ -97,7 +96,7 @@ class Encoder:
         return out
 
     def learn(self, stems: set[bytes]) -> None:
-        new = [w for w in stems if not self.stems.knows(w)]
+        new = self.stems.missing(stems)
         # A word of letters is one pre-token and ends with the one id that ends a word, so such
         # words are encoded many to a text; the others one by one.
         letters = [w for w in new if w.isalpha() or (not w.isascii() and (t := w.decode()).isalpha() and t.lower().isalpha())]
@@ -110,16 +109,15 @@ class Encoder:
         for at in range(0, len(rest), 20_000):
             part = rest[at : at + 20_000]
             ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            self.stems.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(part, ids, strict=True))
+            self.stems.store(part, [np.array(x, "<u4").tobytes() for x in ids])
 
     def store(self, words: list[bytes], flat: np.ndarray) -> None:
         ends = np.flatnonzero(self.ends[flat]) + 1
         if len(ends) != len(words):  # the vocabulary doesn't end words as expected
-            for w in words:
-                self.stems[w] = np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            self.stems.store(words, [np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words])
             return
         packed, cuts = flat.astype("<u4").tobytes(), (4 * np.append(0, ends)).tolist()
-        self.stems.update((w, packed[a:b]) for w, a, b in zip(words, cuts, cuts[1:], strict=False))
+        self.stems.store(words, [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
 
     def check(self, texts: list[str]) -> bool:
         whole = [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .byte_bpe import Memory
+from .common import Memory
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: A side of a join is broadcast up to so many rows (16 bytes each); beyond, Spark's own join is left to shuffle.
@@ -69,15 +69,13 @@ class Vectors:
 
     def counts(self, text: bytes) -> dict[int, int]:
         memory, out = self.memory, {}
-        get = memory.get
-        for token in text.split():
-            known = get(token)
-            if known is None:
-                known = memory[token] = tuple(self.number[f] for f in features_of(token.decode(), self.prefixes) if f in self.number)
-            for f in known:
-                out[f] = out.get(f, 0) + 1
-        if len(memory) > memory.size:
-            memory.clear()
+        tokens = Counter(text.split())
+        new = memory.missing(tokens)
+        memory.store(new, [tuple(self.number[f] for f in features_of(token.decode(), self.prefixes) if f in self.number) for token in new])
+        for token, n in tokens.items():
+            for f in memory[token]:
+                out[f] = out.get(f, 0) + n
+        memory.turn()
         return out
 
 
