@@ -223,17 +223,25 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(docs, few).count() == len(TEXTS)
 
 
-def test_block_max_index():
+@pytest.mark.parametrize("common", [0, 30])
+def test_block_max_index(common):
+    """Against all products, with features of few examples alone and with some that most examples have."""
     rng = np.random.default_rng(0)
     vectors = []
     for _ in range(500):
-        f = rng.choice(40, 4, replace=False)
-        w = rng.random(4)
-        vectors.append(dict(zip(f.tolist(), (w / np.linalg.norm(w)).tolist(), strict=True)))
-    index = toxicity.BlockMaxIndex(vectors, 16)
-    for q in vectors[:50]:
-        brute = sorted(((-sum(w * v.get(f, 0.0) for f, w in q.items()), i) for i, v in enumerate(vectors)))[:7]
-        assert [i for _, i in index.search(q, 7)] == [i for s, i in brute if s < 0] or np.allclose([s for s, _ in index.search(q, 7)], [-s for s, _ in brute if s < 0])
+        f = np.concatenate([rng.choice(400, 4, replace=False), 400 + rng.choice(40, common, replace=False)])
+        w = rng.random(len(f)) * np.where(f < 400, 1, 0.2)
+        vectors.append((f, w / np.linalg.norm(w)))
+    index = toxicity.BlockMaxIndex(vectors, 440, 16)
+    assert index.long.any() == bool(common)
+    dense = np.zeros((500, 440))
+    for i, (f, w) in enumerate(vectors):
+        dense[i, f] = w
+    for i in range(60):
+        near = dense @ dense[i]
+        brute = [j for j in np.lexsort((np.arange(500), -near)).tolist() if near[j] > 0 and j != i][:7]
+        got = index.search(vectors[i], 7, skip=i)
+        assert [s for s, _ in got] == pytest.approx([near[j] for j in brute]) and all(near[j] == pytest.approx(s) for s, j in got)
 
 
 def test_ngram(spark, docs, none):

@@ -1,21 +1,23 @@
 """Toxicity by nearest labelled examples.
 
-Features are words and word beginnings (inflected forms share them).  Which of them matter is
-learnt from all labelled training rows: their document frequencies in either class give the
-inverse document frequency and the choice of features.  A bounded sample of labelled rows with
-any such feature becomes the examples; their TF-IDF vectors stand in an inverted index whose
-postings are cut into blocks with the greatest weight of each.  A document's nearest examples
-by cosine are found exactly: blocks are visited by falling upper bound until none can hold a
-nearer one.  Distance-weighted votes give a raw score, which a logistic curve fitted on
+A bounded sample of the labelled training rows are the examples.  Features are their words and word
+beginnings (inflected forms share them), all of them; how many training rows of either class
+have a feature is counted over all training rows.  A feature's weight in a text is its
+frequency's logarithm times its inverse document frequency times the square of how surely the
+classes differ in it (the lower bound of its log odds; a feature whose bound is zero has no
+weight).  The examples' unit vectors stand in an inverted index whose postings are cut into blocks with the greatest weight of each.  A text's
+nearest examples by cosine are found exactly: short postings are summed; of the long ones only
+the blocks' greatest weights, and where that bound reaches the nearest so far, whole
+products.  Distance-weighted votes give a raw score, which a logistic curve fitted on
 left-one-out votes of the examples calibrates.  The neighbours are the evidence.
 
-Only the index (bounded by the parameters of Model) is sent to the tasks; documents are scored
+Only the index (bounded by the sample's size) is sent to the tasks; documents are scored
 where they are read.
 
-Defined results: a document without features, empty and null texts included, scores the share
-of toxic rows among such training rows; without any labelled row every score is 0.  A doc_id
+Defined results: a document without a feature of weight, empty and null texts included, scores the share
+of toxic rows among training rows that share no word with the examples, smoothed by that of all; without any labelled row every score is 0.  A doc_id
 with several labels is toxic if one of them says so; null labels are no labels.  Repeated rows
-are scored one by one.  Other columns are never read.
+are scored one by one, and are one example.  Other columns are never read.
 """
 
 from __future__ import annotations
@@ -37,16 +39,14 @@ from .common import Memory
 LETTERS = re.compile(r"[^\W\d_]+")
 #: A side of a join is broadcast up to so many rows (16 bytes each); beyond, Spark's own join is left to shuffle.
 BROADCAST_ROWS = 2_000_000
+Sparse = tuple[np.ndarray, np.ndarray]  # features and their counts or weights
 
 
 @dataclass(frozen=True)
 class Model:
-    candidates: int = 60_000  # features by frequency among toxic rows, whose frequencies are then counted
-    features: int = 4_000
     examples: int = 4_000  # labelled rows in the index: the documented bound of the sample
-    min_toxic_rows: int = 4
-    min_lift: float = 4.0  # how much likelier a feature is in toxic rows
     prefixes: tuple[int, ...] = (4, 5, 6)
+    sure: float = 1.0  # deviations by which a feature's log odds are lowered
     neighbours: int = 15
     prior_votes: float = 0.5
     block: int = 64
@@ -67,57 +67,89 @@ class Vectors:
     def __init__(self, features: list[str], prefixes: tuple[int, ...]):
         self.number, self.prefixes, self.memory = {f: i for i, f in enumerate(features)}, prefixes, Memory()
 
-    def counts(self, text: bytes) -> dict[int, int]:
-        memory, out = self.memory, {}
+    def counts(self, text: bytes) -> Sparse:
+        memory, number = self.memory, self.number
         tokens = Counter(text.split())
         new = memory.missing(tokens)
-        memory.store(new, [tuple(self.number[f] for f in features_of(token.decode(), self.prefixes) if f in self.number) for token in new])
+        memory.store(new, [tuple(number[f] for f in features_of(token.decode(), self.prefixes) if f in number) for token in new])
+        out: dict[int, int] = {}
         for token, n in tokens.items():
             for f in memory[token]:
                 out[f] = out.get(f, 0) + n
         memory.turn()
-        return out
+        return np.fromiter(out, np.int64, len(out)), np.fromiter(out.values(), np.float64, len(out))
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each span, in a row."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class BlockMaxIndex:
-    """Unit vectors as postings in blocks of ``block`` examples."""
-
-    def __init__(self, vectors: list[dict[int, float]], block: int = 64):
-        self.block, self.n = block, len(vectors)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for i, vector in enumerate(vectors):
-            for f, w in vector.items():
-                postings.setdefault(f, []).append((i, w))
-        self.postings = {}
-        for f, rows in postings.items():
-            at, w = np.array([i for i, _ in rows]), np.array([w for _, w in rows])
-            blocks, start = np.unique(at // block, return_index=True)
-            self.postings[f] = (blocks, np.maximum.reduceat(w, start), dict(zip(blocks.tolist(), zip(start.tolist(), [*start[1:].tolist(), len(at)], strict=True), strict=True)), at, w)
-
-    def search(self, vector: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
+    """Unit vectors by example and by feature, and each feature's greatest weight in blocks of ``block`` examples."""
+
+    def __init__(self, vectors: list[Sparse], n_features: int, block: int = 64):
+        self.block, self.n, self.n_features = block, len(vectors), n_features
+        size = np.array([len(f) for f, _ in vectors], np.int64)
+        self.own_first = np.append(0, np.cumsum(size))
+        self.own_f = np.concatenate([f for f, _ in vectors] or [np.zeros(0, np.int64)])
+        self.own_w = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        example = np.repeat(np.arange(self.n), size)
+        order = np.lexsort((example, self.own_f))
+        self.at, self.w = example[order], self.own_w[order]
+        feature = self.own_f[order]
+        self.first = np.searchsorted(feature, np.arange(n_features + 1))
+        key = feature * (self.n // block + 1) + self.at // block
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.block_at, self.block_max = self.at[start] // block, np.maximum.reduceat(self.w, start) if len(key) else self.w
+        self.block_first = np.searchsorted(feature[start], np.arange(n_features + 1))
+        self.long = np.diff(self.first) > max(self.n // 16, block)
+
+    def _sum(self, f: np.ndarray, w: np.ndarray, first: np.ndarray, at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        size = first[f + 1] - first[f]
+        rows = _spans(first[f], size)
+        return np.bincount(at[rows], np.repeat(w, size) * weights[rows], n)
+
+    def search(self, vector: Sparse, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k nearest (cosine, example), ties by example; cosines over 0 alone.  skip: an example left out."""
-        own = [(self.postings[f], w) for f, w in sorted(vector.items()) if f in self.postings]
-        bound = np.zeros(self.n // self.block + 1)
-        for (blocks, most, *_), w in own:
-            bound[blocks] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            near = np.zeros(self.block)
-            for (_, _, spans, at, weights), w in own:
-                if b in spans:
-                    lo, hi = spans[b]
-                    near[at[lo:hi] - b * self.block] += w * weights[lo:hi]
-            found = np.flatnonzero(near > 0)
-            best = sorted(best + [(-float(near[j]), b * self.block + int(j)) for j in found if b * self.block + j != skip])[:k]
-        return [(-s, i) for s, i in best]
+        f, w = vector
+        if not len(f) or not self.n:
+            return []
+        far = self.long[f]
+        near = self._sum(f[~far], w[~far], self.first, self.at, self.w, self.n)
+        if far.any():
+            blocks = self._sum(f[far], w[far], self.block_first, self.block_at, self.block_max, self.n // self.block + 1)
+            bound = near + np.repeat(blocks, self.block)[: self.n]
+        else:
+            bound = near
+        if skip >= 0:
+            near[skip] = bound[skip] = -1.0
+        least = np.partition(near, self.n - k)[self.n - k] if self.n > k else 0.0
+        some = np.flatnonzero((bound >= least - 1e-12) & (bound > 0))
+        if far.any():
+            dense = np.zeros(self.n_features)
+            dense[f] = w
+            best = some[np.argsort(-bound[some], kind="stable")]
+            found, scores = np.zeros(0, np.int64), np.zeros(0)
+            for lo in range(0, len(best), 256):  # by falling bound, until none can be nearer
+                part = best[lo : lo + 256]
+                if len(scores) >= k and bound[part[0]] < np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-12:
+                    break
+                size = self.own_first[part + 1] - self.own_first[part]
+                rows = _spans(self.own_first[part], size)
+                exact = np.bincount(np.repeat(np.arange(len(part)), size), dense[self.own_f[rows]] * self.own_w[rows], len(part))
+                found, scores = np.append(found, part), np.append(scores, exact)
+        else:
+            found, scores = some, near[some]
+        order = np.lexsort((found, -scores))[:k]
+        return [(float(scores[i]), int(found[i])) for i in order if scores[i] > 0]
 
 
 @dataclass
 class Fitted:
     features: list[str]
-    idf: np.ndarray
+    weights: np.ndarray  # of the features
     ids: list[int]
     toxic: np.ndarray
     weight: np.ndarray  # how many training rows an example stands for
@@ -127,10 +159,12 @@ class Fitted:
     curve: tuple[float, float]
     model: Model
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {f: (1 + math.log(n)) * float(self.idf[f]) for f, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {f: w / norm for f, w in raw.items()} if norm else {}
+    def vector(self, counts: Sparse) -> Sparse:
+        f, n = counts
+        raw = (1 + np.log(n)) * self.weights[f]
+        norm = math.sqrt(float(raw @ raw))
+        stay = raw > 0
+        return (f[stay], raw[stay] / norm) if norm else (f[:0], raw[:0])
 
     def raw(self, near: list[tuple[float, int]]) -> float:
         """Votes weighted by closeness, log odds."""
@@ -144,9 +178,8 @@ class Fitted:
         p = self.model.prior_votes
         return math.log((yes + p * self.base_rate + 1e-6) / (no + p * (1 - self.base_rate) + 1e-6))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        vector = self.vector(counts)
-        near = self.index.search(vector, self.model.neighbours) if vector else []
+    def score(self, counts: Sparse) -> tuple[float, list[tuple[float, int]]]:
+        near = self.index.search(self.vector(counts), self.model.neighbours)
         if not near:
             return self.plain_score, near
         a, b = self.curve
@@ -183,66 +216,66 @@ def fit(rows: DataFrame, model: Model = Model()) -> Fitted | None:
         return None
     base_rate = n_toxic / (n_toxic + n_clean)
     prefixes = model.prefixes
+    spark = rows.sparkSession
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n: Counter[str] = Counter()
-            for text in common.texts(batch):
-                n.update({f for token in set(text.split()) for f in features_of(token.decode(), prefixes)})
-            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["feature", "n"])
-
-    counted = common.map_batches(rows.where("toxic").select("text"), seen, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    frequent = counted.where(F.col("n") >= model.min_toxic_rows).orderBy(F.desc("n"), "feature").limit(model.candidates).toArrow()
-    names, in_toxic = frequent.column("feature").to_pylist(), np.array(frequent.column("n").to_pylist(), float)
-
-    held = rows.sparkSession.sparkContext.broadcast(names)
+    # The examples: of each class the distinct rows of the least seeded hashes.
+    hashed = rows.select("doc_id", "toxic", "text", F.xxhash64(F.lit(model.seed), "doc_id", "text").alias("h"))
+    cut = {}
+    for y in (True, False):
+        least = hashed.where(F.col("toxic") == y).select("h").distinct().orderBy("h").limit(model.examples // 2).collect()
+        cut[y] = least[-1].h if least else -(1 << 63)
+    some = hashed.where(F.when(F.col("toxic"), F.col("h") <= cut[True]).otherwise(F.col("h") <= cut[False])).dropDuplicates(["h"])
 
-    def in_either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vectors(held.value, prefixes)
-        n = np.zeros(len(known.number), np.int64)
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for text in common.texts(batch):
-                n[list(known.counts(text))] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["feature", "n"])
-
-    in_clean = np.zeros(len(names))
-    clean = common.map_batches(rows.where("not toxic").select("text"), in_either, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    in_clean[clean.column("feature").to_pylist()] = clean.column("n").to_pylist()
-    lift = ((in_toxic + 0.5) / (n_toxic + 1)) / ((in_clean + 0.5) / (n_clean + 1))
-    expected = (in_toxic + in_clean) * base_rate
-    strength = (in_toxic - expected) / np.sqrt(expected * (1 - base_rate) + 1e-9)
-    order = [int(i) for i in np.argsort(-strength, kind="stable") if lift[i] >= model.min_lift and strength[i] >= 4][: model.features]
-    features = [names[i] for i in order]
-    idf = np.log((n_toxic + n_clean + 1) / (in_toxic[order] + in_clean[order] + 1)) + 1 if order else np.zeros(0)
-
-    chosen = rows.sparkSession.sparkContext.broadcast(features)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vectors(chosen.value, prefixes)
-        for batch in batches:
-            found = [known.counts(t) for t in common.texts(batch)]
+                n: Counter[str] = Counter()
+                for token, k in Counter(text.split()).items():
+                    for f in features_of(token.decode(), prefixes):
+                        n[f] += k
+                found.append(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
+                [batch.column(0), batch.column(1), pa.array([list(n) for n in found], pa.list_(pa.string())), pa.array([list(n.values()) for n in found], pa.list_(pa.int64()))],
                 names=["doc_id", "toxic", "features", "counts"],
             )
 
-    described = common.materialize(common.map_batches(rows, vectors, "doc_id long, toxic boolean, features array<int>, counts array<int>"), "described")
-    totals = {(bool(r["toxic"]), bool(r["any"])): r["count"] for r in described.groupBy("toxic", (F.size("features") > 0).alias("any")).count().collect()}
-    plain = [totals.get((y, False), 0) for y in (False, True)]
-    sample, weights = [], {}
-    for y in (True, False):
-        part = described.where((F.size("features") > 0) & (F.col("toxic") == y)).orderBy(F.xxhash64(F.lit(model.seed), "doc_id"), "doc_id").limit(model.examples // 2).collect()
-        weights[y] = totals.get((y, True), 0) / max(1, len(part))
-        sample += part
+    sample = common.map_batches(some.select("doc_id", "toxic", "text"), described, "doc_id long, toxic boolean, features array<string>, counts array<long>").collect()
+    names = sorted(set().union(*(r.features for r in sample)))
+    held = spark.sparkContext.broadcast(names)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vectors(held.value, prefixes)
+        n = np.zeros((2, len(known.number) + 1), np.int64)  # the last: rows without any
+        for batch in batches:
+            for text, y in zip(common.texts(batch), batch.column(batch.schema.get_field_index("toxic")).to_pylist(), strict=True):
+                f, _ = known.counts(text)
+                n[int(y), f if len(f) else -1] += 1
+        for y in (0, 1):
+            at = np.flatnonzero(n[y])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), bool(y))), pa.array(n[y, at])], names=["feature", "toxic", "n"])
+
+    counted = common.map_batches(rows.select("toxic", "text"), seen, "feature long, toxic boolean, n long").groupBy("feature", "toxic").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros((2, len(names) + 1))
+    n[counted.column("toxic").to_numpy().astype(int), counted.column("feature").to_numpy()] = counted.column("n").to_numpy()
+    (plain_clean, plain_toxic), (in_clean, in_toxic) = n[:, -1], n[:, :-1]
+    odds = np.log((in_toxic + 0.5) / (n_toxic + 1)) - np.log((in_clean + 0.5) / (n_clean + 1))
+    sure = np.maximum(0, np.abs(odds) - model.sure * np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_clean + 0.5)))
+    weights = (np.log((n_toxic + n_clean + 1) / (in_toxic + in_clean + 1)) + 1) * sure**2
+    names, weights = [f for f, w in zip(names, weights, strict=True) if w > 0], weights[weights > 0]
+
+    number = {f: i for i, f in enumerate(names)}
+    known = lambda r: [(number[f], k) for f, k in zip(r.features, r.counts, strict=True) if f in number]
     fitted = Fitted(
-        features, idf, [], np.zeros(0, bool), np.zeros(0), BlockMaxIndex([]), (plain[1] + base_rate) / (sum(plain) + 1), base_rate, (1.0, 0.0), model
+        names, weights, [], np.zeros(0, bool), np.zeros(0), BlockMaxIndex([], len(names)), (plain_toxic + base_rate) / (plain_toxic + plain_clean + 1), base_rate, (1.0, 0.0), model
     )
-    made = [(fitted.vector(dict(zip(r["features"], r["counts"], strict=True))), r["doc_id"], bool(r["toxic"])) for r in sample]
-    made.sort(key=lambda v: (max(v[0], key=lambda f: (v[0][f], -f)), v[1]))  # alike examples share blocks, so bounds are tight
+    made = [(fitted.vector((np.array([f for f, _ in known(r)], np.int64), np.array([k for _, k in known(r)], float))), r.doc_id, bool(r.toxic)) for r in sample]
+    made = [m for m in made if len(m[0][0])]
+    made.sort(key=lambda v: (int(v[0][0][v[0][1].argmax()]), v[1], v[2], len(v[0][0])))  # alike examples share blocks, so bounds are tight
     fitted.ids, fitted.toxic = [i for _, i, _ in made], np.array([y for *_, y in made], bool)
-    fitted.weight = np.array([weights[y] for *_, y in made], float)
-    fitted.index = BlockMaxIndex([v for v, *_ in made], model.block)
+    stands_for = {y: total / max(1, sum(m[2] == y for m in made)) for y, total in ((True, n_toxic), (False, n_clean))}
+    fitted.weight = np.array([stands_for[y] for *_, y in made], float)
+    fitted.index = BlockMaxIndex([v for v, *_ in made], len(names), model.block)
     if made:
         held_out = np.array([fitted.raw(fitted.index.search(v, model.neighbours, skip=i)) for i, (v, *_) in enumerate(made)])
         fitted.curve = _logistic(held_out, fitted.toxic, fitted.weight)
@@ -258,7 +291,7 @@ def _scores(docs: DataFrame, fitted: Fitted | None):
         if own is None:
             return lambda texts: [(0.0, []) for _ in texts]
         known = Vectors(own.features, own.model.prefixes)
-        return lambda texts: [own.score(c) if (c := known.counts(t)) else (own.plain_score, []) for t in texts]
+        return lambda texts: [own.score(known.counts(t)) for t in texts]
 
     return start, held
 
