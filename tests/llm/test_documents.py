@@ -56,7 +56,11 @@ def test_quality(spark, docs, none):
                 dup += line in seen
                 seen.add(line)
         assert r.n_dup_lines == dup and r.base_failed == (len(w) < 20 or 100 * r.n_repeat_words > 30 * len(w)) and not (r.base_failed and r.kept)
-    assert quality_rules.keep(docs).columns == docs.columns
+    stay = {r.doc_id: r for r in quality_rules.keep(docs).collect()}
+    assert quality_rules.keep(docs).columns == docs.columns and set(stay) == {r.doc_id for r in got if r.kept}
+    for r in quality_rules.apply(docs, with_text=True).collect():
+        if r.kept:
+            assert (stay[r.doc_id].text, stay[r.doc_id].n_chars) == (r.clean_text, len(r.clean_text))
 
 
 def test_quality_lines():

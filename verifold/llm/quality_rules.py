@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import common
@@ -157,22 +158,29 @@ def apply(docs: DataFrame, rules: Rules = Rules(), with_text: bool = False) -> D
 
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of documents that pass, whole and unchanged.
+    """The rows of documents that pass, with their failing lines removed from text and n_chars (if there is one) counted anew.
 
     The verdict is computed beside the row in one pass: no join, so repeated or null ids stay
-    themselves.
+    themselves.  Null and empty texts fail; other columns are unchanged.
     """
     schema = docs.schema
-    at = schema.names.index("text")
+    at, size = schema.names.index("text"), schema.names.index("n_chars") if "n_chars" in schema.names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = []
+            mask, cleaned = [], []
             for value in batch.column(at).cast(pa.binary()).to_pylist():
                 text = value or b""
                 words = text.split()
                 n = len(words)
-                mask.append(n >= MIN_WORDS and 100 * repeated_words(words) <= MAX_REPEAT_PERCENT * n and clean(text, rules)[1] <= rules.max_lost * n)
-            yield batch.filter(pa.array(mask, pa.bool_()))
+                passes = n >= MIN_WORDS and 100 * repeated_words(words) <= MAX_REPEAT_PERCENT * n
+                stay, lost, _ = clean(text, rules) if passes else (b"", 0, {})
+                mask.append(passes and lost <= rules.max_lost * n)
+                if mask[-1]:
+                    cleaned.append(stay)
+            batch = batch.filter(pa.array(mask, pa.bool_()))
+            texts = pa.array(cleaned, pa.binary()).cast(pa.string())
+            columns = [texts if i == at else pc.utf8_length(texts).cast(c.type) if i == size else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return common.map_batches(docs, run, schema)
