@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,8 +241,15 @@ def fit(rows: DataFrame, model: Model = Model()) -> Fitted | None:
                 names=["doc_id", "toxic", "features", "counts"],
             )
 
-    sample = common.map_batches(some.select("doc_id", "toxic", "text"), described, "doc_id long, toxic boolean, features array<string>, counts array<long>").collect()
-    names = sorted(set().union(*(r.features for r in sample)))
+    sample = common.map_batches(some.select("doc_id", "toxic", "text"), described, "doc_id long, toxic boolean, features array<string>, counts array<long>").toArrow()
+    lists = sample.column("features").combine_chunks()
+    coded, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(sample) else 0)
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    names = coded.dictionary.take(pa.array(order)).to_pylist()
+    own_f = np.argsort(order)[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
+    own_n = sample.column("counts").combine_chunks().flatten().to_numpy().astype(float)
+    ids, marks = sample.column("doc_id").to_pylist(), sample.column("toxic").to_pylist()
+    del sample, lists, coded
     held = spark.sparkContext.broadcast(names)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,14 +270,18 @@ def fit(rows: DataFrame, model: Model = Model()) -> Fitted | None:
     odds = np.log((in_toxic + 0.5) / (n_toxic + 1)) - np.log((in_clean + 0.5) / (n_clean + 1))
     sure = np.maximum(0, np.abs(odds) - model.sure * np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_clean + 0.5)))
     weights = (np.log((n_toxic + n_clean + 1) / (in_toxic + in_clean + 1)) + 1) * sure**2
-    names, weights = [f for f, w in zip(names, weights, strict=True) if w > 0], weights[weights > 0]
+    has = weights > 0
+    number = np.where(has, np.cumsum(has) - 1, -1)
+    names, weights = [names[i] for i in np.flatnonzero(has)], weights[has]
+
+    def known(i: int) -> Sparse:
+        f = number[own_f[offsets[i] : offsets[i + 1]]]
+        return f[f >= 0], own_n[offsets[i] : offsets[i + 1]][f >= 0]
 
-    number = {f: i for i, f in enumerate(names)}
-    known = lambda r: [(number[f], k) for f, k in zip(r.features, r.counts, strict=True) if f in number]
     fitted = Fitted(
         names, weights, [], np.zeros(0, bool), np.zeros(0), BlockMaxIndex([], len(names)), (plain_toxic + base_rate) / (plain_toxic + plain_clean + 1), base_rate, (1.0, 0.0), model
     )
-    made = [(fitted.vector((np.array([f for f, _ in known(r)], np.int64), np.array([k for _, k in known(r)], float))), r.doc_id, bool(r.toxic)) for r in sample]
+    made = [(fitted.vector(known(i)), ids[i], marks[i]) for i in range(len(ids))]
     made = [m for m in made if len(m[0][0])]
     made.sort(key=lambda v: (int(v[0][0][v[0][1].argmax()]), v[1], v[2], len(v[0][0])))  # alike examples share blocks, so bounds are tight
     fitted.ids, fitted.toxic = [i for _, i, _ in made], np.array([y for *_, y in made], bool)
