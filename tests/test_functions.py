@@ -1,5 +1,6 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from verifold.functions import dates, fuzzy, ids, names
@@ -50,6 +51,12 @@ def test_numbers(spark):
     assert one(spark, ids.birthdate(F.col("a")), a="3200004501990001").day == 5
 
 
+@pytest.mark.parametrize("text", ["terbit 01-02-2024, berlaku sampai 01-02-2024", "terbit 11-2-2024 sampai 1-2-2024", "1-2-20245 sampai x1-2-2024 1-2-2024", "1 Februari 2024 sampai 1/2/2024"])
+def test_repeated_dates(spark, text):
+    assert str(one(spark, dates.after_label(F.col("t"), dates.found(F.col("t")), "sampai"), t=text)) == "2024-02-01"
+    assert one(spark, F.size(dates.found(F.col("t"))), t="") == 0 and one(spark, F.size(dates.found(F.col("t"))), t=text) <= 2
+
+
 def test_dates(spark):
     v = one(spark, dates.validity(F.col("t"), "(?i)sampai", "(?i)dari"), t="dari 3 Maret 2024 sampai 03-09-2024")
     assert (str(v["from"]), str(v["until"])) == ("2024-03-03", "2024-09-03")

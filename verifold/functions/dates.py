@@ -26,15 +26,27 @@ def safe_date(year: Column, month: Column, day: Column) -> Column:
 
 
 def found(text: Column) -> Column:
-    """Distinct dates of a text in order of place: array of struct(pos, date)."""
+    """Dates of a text in order of place, repeated ones at every place: array of struct(pos, date)."""
     names = "|".join(sorted(MONTH_NUMBER, key=len, reverse=True))
     worded = rf"(?i)\b([0-3]?[0-9])[ ./-]*({names})[a-z]*[ ./,-]*((?:19|20)[0-9]{{2}})\b"
     numeric = r"\b([0-3]?[0-9])[-/.]([01]?[0-9])[-/.]((?:19|20)[0-9]{2})\b"
     iso = r"\b((?:19|20)[0-9]{2})-([01][0-9])-([0-3][0-9])\b"
 
     def all_of(pattern: str, make) -> Column:
-        raw = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0))
-        return F.transform(raw, lambda r: F.struct(F.position(r, text).alias("pos"), make(r).alias("date")))
+        # A match stands after what is between the matches before it, and these: both are read off the split text.
+        between = F.split(text, pattern, -1)
+        matches = F.regexp_extract_all(text, F.lit(pattern), 0)
+        start = F.struct(F.lit(1).alias("upto"), F.array().cast("array<struct<pos:int,raw:string>>").alias("out"))
+
+        def step(held: Column, pair: Column) -> Column:
+            pos = held["upto"] + F.length(pair["gap"])
+            return F.struct(
+                (pos + F.length(pair["raw"])).alias("upto"), F.concat(held["out"], F.array(F.struct(pos.alias("pos"), pair["raw"].alias("raw")))).alias("out")
+            )
+
+        pairs = F.transform(matches, lambda r, i: F.struct(F.get(between, i).alias("gap"), r.alias("raw")))
+        placed = F.aggregate(pairs, start, step, lambda held: held["out"])
+        return F.transform(placed, lambda r: F.struct(r["pos"].alias("pos"), make(r["raw"]).alias("date")))
 
     part = lambda p, i: lambda r: F.regexp_extract(r, p, i)
     dates = F.concat(
@@ -54,10 +66,10 @@ def after_label(text: Column, dates: Column, label: str) -> Column:
 def validity(text: Column, until_label: str, from_label: str, first_year: int = 2020) -> Column:
     """struct(from, until): labelled dates, else the earliest and the latest of those recent enough."""
     dates = F.filter(found(text), lambda d: F.year(d["date"]) >= first_year)
-    days = F.transform(dates, lambda d: d["date"])
+    days = F.array_distinct(F.transform(dates, lambda d: d["date"]))
     begin, end = after_label(text, dates, from_label), after_label(text, dates, until_label)
     end = F.coalesce(end, F.when(F.size(days) > 0, F.array_max(days)))
-    begin = F.coalesce(begin, F.when(F.size(days) > 1, F.array_min(days)))
+    begin = F.coalesce(begin, F.when((F.size(days) > 1) & (end.isNull() | (F.array_min(days) < end)), F.array_min(days)))
     return ordered(begin, end)
 
 

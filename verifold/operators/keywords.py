@@ -1,8 +1,8 @@
 """Keyword profiles against documents: scores, group and exclusion gates, ranked detection.
 
-The documents are one side of a broadcast nested loop whose other side is a dimension of a few
-hundred keywords, so nothing but the small per-profile aggregates is shuffled; detection and
-the gates share one scored table.
+The dimension of a few hundred keywords is one row with an array, which is exploded beside each
+document after its text is normalised once; nothing but the small per-profile aggregates is
+shuffled, and detection and the gates share one scored table.
 """
 
 from __future__ import annotations
@@ -23,7 +23,10 @@ def score(docs: DataFrame, keywords: DataFrame, fuzzy: bool = False, minimum: fl
     without a space scores 100 where one of these holds it once spaces are gone.
     """
     text = T.normalize(F.coalesce("text", F.lit("")))
-    pairs = docs.select("doc_id", text.alias("norm"), "text").join(F.broadcast(keywords.withColumn("key", T.normalize_keyword(F.col("kw")))))
+    # Dimensions are small constants; one row of them is joined, and each text is normalised before its keywords multiply it.
+    all_of = keywords.withColumn("key", T.normalize_keyword(F.col("kw"))).agg(F.collect_list(F.struct(*keywords.columns, "key")).alias("_all"))
+    beside = docs.select("doc_id", text.alias("norm"), *(["text"] if fuzzy else [])).join(F.broadcast(all_of))
+    pairs = beside.select("*", F.explode("_all").alias("_one")).select("doc_id", "norm", *(["text"] if fuzzy else []), "_one.*")
     exact = F.col("norm").contains(F.col("key"))
     if not fuzzy:
         return pairs.select("doc_id", *keywords.columns, F.when(exact, 100.0).otherwise(0.0).alias("score"), exact.alias("hit"))

@@ -317,6 +317,18 @@ def dates_from_text(spark, d):
     return table(spark, d, "orders").select("o_orderkey", dates.after_label(said, dates.found(said), "berlaku sampai").alias("found"))
 
 
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS until, CAST(o_orderdate AS DATE) + 1 AS printed, 4 AS n_found FROM orders")
+def dates_repeated(spark, d):
+    """One date three times, and once as the end of a longer one: each label has the date after it."""
+    day = F.to_date("o_orderdate")
+    short = F.date_format(day, "d-M-yyyy")
+    said = F.concat(F.lit("terbit "), short, F.lit(", berlaku sampai "), short, F.lit(" oleh "), F.date_format(day, "dd-MM-yyyy"), F.lit(", dicetak "), F.date_format(F.date_add(day, 1), "d/M/yyyy"))
+    found = dates.found(said)
+    return table(spark, d, "orders").select(
+        "o_orderkey", dates.after_label(said, found, "berlaku sampai").alias("until"), dates.after_label(said, found, "dicetak").alias("printed"), F.size(found).alias("n_found")
+    )
+
+
 @query("""SELECT user_id, min(event_id) AS event_id FROM (SELECT e.user_id, e.event_id, e.ts, min(e.ts) OVER (PARTITION BY e.user_id) AS first_ts FROM (
  SELECT e.* FROM events e JOIN (SELECT user_id, min(ts) AS label_ts FROM events WHERE event_type = 'signup' GROUP BY 1) l ON e.user_id = l.user_id AND e.ts > l.label_ts) e) WHERE ts = first_ts GROUP BY 1""")
 def first_event_after_label(spark, d):
