@@ -39,6 +39,8 @@ class GateSpec:
     use_account: bool = False
     number: str | None = None  # the extraction's number that is compared with the expected id or account
     marks: tuple[str, ...] = ()  # words in the notes that reject
+    cards: tuple[str, ...] = ()  # card numbers, which must agree with one another, with the notes and with the expected one
+    other_number: str | None = None  # a second identity number that must agree with the first
 
 
 #: The gates of all extraction profiles.
@@ -50,7 +52,7 @@ GATES = {
         GateSpec("pemadanan_npwp", ("is_pemadanan_npwp",), ("is_login",), use_id=True, number="nik"),
         GateSpec("rekening", ("is_front_page",), ("is_transaction_home", "is_product_list", "is_passbook", "is_statement"), use_bank=True, use_account=True, number="account_number"),
         GateSpec("mutasi", ("is_mutation",), use_name=False, use_bank=True, use_account=True, number="account_number"),
-        GateSpec("bpjs", ("is_bpjs_kesehatan",), use_id=True, number="nik"),
+        GateSpec("bpjs", ("is_bpjs_kesehatan",), use_id=True, number="nik", cards=("card_number", "info_peserta_card_number"), other_number="info_peserta_nik"),
         GateSpec("jkn", ("is_info_peserta",), ("is_kis_card",), use_id=True, number="bpjs_nik"),
         GateSpec("iuran", ("is_info_iuran",), ("is_payment_history", "has_tagihan"), use_id=True, number="nik"),
         GateSpec("vaksinasi_1", ("is_covid_vaccine", "is_dose_1"), use_id=True, number="nik"),
@@ -66,16 +68,39 @@ GATES = {
 }
 
 
+def _bare_card(digits: Column) -> Column:
+    return F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), digits)
+
+
+def cards_in(text: Column) -> Column:
+    """The distinct runs of 11 to 15 digits, without leading zeros."""
+    runs = F.filter(F.regexp_extract_all(text, F.lit(r"\d+"), 0), lambda d: F.length(d).between(11, 15))
+    return F.array_distinct(F.transform(runs, _bare_card))
+
+
+def card_conflict(numbers: Column, notes: Column, expected: Column) -> Column:
+    """Whether the card numbers (array of text) and notes hold two different cards, or a card but the expected one.
+
+    An expected number that isn't one (11 to 15 digits without separators) asks for nothing; one
+    that no number answers is a conflict.
+    """
+    card = lambda c: F.when(F.length(ids.digits_only(c)).between(11, 15), _bare_card(ids.digits_only(c)))
+    shown = F.array_compact(F.transform(numbers, card))
+    wanted = card(expected)
+    foreign = wanted.isNotNull() & ((F.size(shown) == 0) | F.exists(shown, lambda n: n != wanted))
+    return (F.size(cards_in(F.concat_ws(" ", numbers, notes))) > 1) | F.coalesce(foreign, F.lit(False))
+
+
 def identity_pass(name_pass: Column, id_pass: Column, has_name: Column, has_id: Column) -> Column:
     """Either is enough; neither expected is not evaluated."""
     return F.when(F.coalesce(id_pass, F.lit(False)) | F.coalesce(name_pass, F.lit(False)), True).when(has_name | has_id, False)
 
 
 def decide(rows: DataFrame, spec: GateSpec, bank_prefixes: dict[str, str] | None = None) -> DataFrame:
-    """rows: expected_name, expected_nik, expected_bank, expected_account and the JSON text ``extraction``.
+    """rows: expected_name, expected_nik, expected_card_number, expected_bank, expected_account and the JSON text ``extraction``.
 
-    Adds type_pass, name_pass, id_pass, identity_pass, bank_pass, account_method, account_pass,
-    document_matched and blockers (in the order type, identity, bank, account).
+    Adds card_pass (null: the profile has no card), type_pass, name_pass, id_pass, identity_pass, bank_pass, account_method, account_pass,
+    document_matched and blockers (in the order card, type, identity, bank, account).
     """
     field = lambda name: F.get_json_object("extraction", f"$.{name}")
     given = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) if c in rows.columns else F.lit("")
@@ -92,6 +117,15 @@ def decide(rows: DataFrame, spec: GateSpec, bank_prefixes: dict[str, str] | None
     name, number, account = given("expected_name"), ids.id16(given("expected_nik")), ids.digits_only(given("expected_account"))
     shown = F.trim(F.coalesce(field("holder_name"), F.lit("")))
     out = rows.withColumn("type_pass", right)
+    if spec.cards:
+        shown_cards = F.array(*(F.coalesce(field(c), F.lit("")) for c in spec.cards))
+        conflict = card_conflict(shown_cards, F.coalesce(field("notes"), F.lit("")), given("expected_card_number"))
+        if spec.other_number:
+            own, other = (ids.id16(F.coalesce(field(n), F.lit(""))) for n in (spec.number, spec.other_number))
+            conflict = conflict | F.coalesce((own != "") & (other != "") & (own != other), F.lit(False))
+        out = out.withColumn("card_pass", ~conflict)
+    else:
+        out = out.withColumn("card_pass", null)
     if spec.use_name:
         hit = holder_match(shown, name)
         out = out.withColumn("name_pass", F.when(has(name), hit["pass"])).withColumn("name_method", F.when(has(name), hit["method"]))
@@ -115,7 +149,7 @@ def decide(rows: DataFrame, spec: GateSpec, bank_prefixes: dict[str, str] | None
     else:
         out = out.withColumn("detected_bank", F.lit(None).cast("string")).withColumn("bank_pass", null)
     failed = lambda c: ~F.coalesce(F.col(c), F.lit(True))
-    blockers = F.array(F.when(~F.col("type_pass"), "DOCUMENT_TYPE"), F.when(failed("identity_pass"), "IDENTITY"), F.when(failed("bank_pass"), "BANK"), F.when(failed("account_pass"), "ACCOUNT"))
+    blockers = F.array(F.when(failed("card_pass"), "CARD_MISMATCH"), F.when(~F.col("type_pass"), "DOCUMENT_TYPE"), F.when(failed("identity_pass"), "IDENTITY"), F.when(failed("bank_pass"), "BANK"), F.when(failed("account_pass"), "ACCOUNT"))
     out = out.withColumn("blockers", F.array_compact(blockers))
     return out.withColumn("document_matched", F.size("blockers") == 0).withColumn("confidence", confidence(field("confidence")))
 

@@ -359,6 +359,23 @@ def extraction_gate(spark, d):
     return gates.decide(rows, gates.GATES["bpjs_tk"]).select("c_custkey", "type_pass", "id_pass", "document_matched")
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN true ELSE c_custkey % 3 <> 0 END AND c_custkey % 7 <> 0 AS card_pass,
+ concat_ws(',', CASE WHEN (c_custkey % 5 <> 0 AND c_custkey % 3 = 0) OR c_custkey % 7 = 0 THEN 'CARD_MISMATCH' END, CASE WHEN c_custkey % 4 = 0 THEN 'DOCUMENT_TYPE' END) AS blocked FROM customer""")
+def card_gate(spark, d):
+    """Card numbers of two places, with zeros and separators, against an expected one that every fifth row lacks; a foreign card in every third row, a second one in the notes of every seventh."""
+    number = F.lpad(F.col("c_custkey").cast("string"), 12, "8")
+    shown = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("9"), number)).otherwise(F.concat(F.lit("0"), number))
+    dashed = F.concat(F.left(shown, F.lit(4)), F.lit("-"), F.substring(shown, 5, 20))
+    rows = table(spark, d, "customer").select(
+        "c_custkey", F.lit("").alias("expected_name"), F.lit("").alias("expected_nik"), F.when(F.col("c_custkey") % 5 == 0, "").otherwise(number).alias("expected_card_number"),
+        F.to_json(F.struct(
+            (F.col("c_custkey") % 4 != 0).alias("is_bpjs_kesehatan"), shown.alias("card_number"), dashed.alias("info_peserta_card_number"),
+            F.when(F.col("c_custkey") % 7 == 0, "nomor lain 77777777777").otherwise("").alias("notes"),
+        )).alias("extraction"),
+    )
+    return gates.decide(rows, gates.GATES["bpjs"]).select("c_custkey", "card_pass", F.array_join("blockers", ",").alias("blocked"))
+
+
 @query("""SELECT doc_id, line_no::INT AS line_no, (sum(CASE WHEN length(line) BETWEEN 1 AND 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no))::BIGINT AS section FROM (
  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents)""")
 def section_running_id(spark, d):
