@@ -162,6 +162,8 @@ def test_urls(spark):
         ("", "", None, "allow"), ("a.com", "", None, "allow"),
     ]
     assert url_filter.apply(spark.createDataFrame([], "page_id long, url string, host string"), rules).count() == 0
+    long = spark.createDataFrame([(1, "http://" + "a." * 200_000 + "sub.bad.org/" + "x" * 100_000, 5, "z")], "page_id long, url string, rule int, host string")
+    assert [(r.verdict, r.blocked_host, len(r.host)) for r in url_filter.apply(long, rules, ["bad.org"]).collect()] == [("block", "bad.org", 400_011)]
 
 
 def test_ppm(spark, docs, none):

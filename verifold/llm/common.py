@@ -5,6 +5,7 @@ A *word* is a run of bytes outside 0x20 and 0x09-0x0D; ``bytes.split()`` cuts ex
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -93,13 +94,17 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured (tests)."""
+    """The folder that all executors share; where none is configured, a temporary one of a local master (tests), else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="verifold-")
-        if not have.isDefined():
+        if have.isDefined():
+            path = have.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            path = tempfile.mkdtemp(prefix="verifold-")
             spark.sparkContext.setCheckpointDir(path)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 

@@ -249,13 +249,16 @@ def candidates(docs: DataFrame, join: Join = Join()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], schema=schema)
 
     hot = found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("class"))
-    often = hot.groupBy("key").agg(F.count("*").alias("often"))
-    ranked = hot.join(often, "key").select("class", F.col("key").bitwiseAND(63).cast("int").alias("band"), F.struct("often", "key").alias("ranked"))
+    # Counts are made before the shuffle; a frequent key's rows meet its count where they are, or in a join whose skewed partitions are split.
+    often = common.materialize(hot.groupBy("key").agg(F.count("*").alias("often")), "often")
+    near = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    ranked = hot.join(near, "key").select("class", F.col("key").bitwiseAND(63).cast("int").alias("band"), F.struct("often", "key").alias("ranked"))
     # A class has a part's signature once, so a list is no longer than a band has parts; the rarest come first.
     lists = ranked.groupBy("class", "band").agg(F.transform(F.array_sort(F.collect_set("ranked")), lambda r: r["key"]).alias("hot"))
     pairs = _scan(common.map_batches(lists, combine, "key long, class long"), None)
     out = common.materialize(found.where("not hot").select("a", "b").union(pairs.select("a", "b")).distinct(), "candidates")
     common.discard(found)
+    common.discard(often)
     return out
 
 
