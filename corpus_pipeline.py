@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next one's docs.  All but the last return the columns of documents.
+
+Null and empty texts leave at the quality stage; rows of a null doc_id are never near duplicates
+and stay; of equal rows the least doc_id stays; an empty table gives an empty result; columns beyond
+those of documents are not read.
 """
 
 from __future__ import annotations
@@ -57,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Fitted scores, drawn blocks and recursive contraction are beyond SQL; the tests hold run() against plain Python.
+#: Fitted scores, drawn blocks and recursive contraction are beyond SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
