@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from verifold.plans import rule_queries  # noqa: F401 (adds its queries)
 from verifold.plans.queries import SQL, Q
 
 DATA = "/root/testdata/sf0.01"

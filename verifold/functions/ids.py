@@ -94,3 +94,71 @@ def account_method(found: Column, expected: Column) -> Column:
         .when(hamming(f, e) == 1, "one_digit_off")
         .when((F.length(f) == F.length(e) - 1) & dropped, "missing_digit")
     )
+
+
+def spoken_accounts(text: Column) -> Column:
+    """Numbers of 10 to 13 digits, also with single separators between digits, that are no part of a card number."""
+    number = lambda least, most: F.transform(F.regexp_extract_all(text, F.lit(rf"(?<!\d)\d(?:[\s.-]?\d){{{least},{most}}}(?!\d)"), 0), digits_only)
+    pans = number(15, 15)
+    return F.array_distinct(F.filter(number(9, 12), lambda a: ~F.exists(pans, lambda p: p.contains(a))))
+
+
+def family_number(text: Column) -> Column:
+    """The number of a family card, 16 digits after ``no``; null without one."""
+    return F.nullif(F.regexp_extract(text, r"(?i)no\.?\s*(\d{16})", 1), F.lit(""))
+
+
+def family_rows(text: Column) -> Column:
+    """array of struct(name, nik) of the table rows ``| no | name | number |``."""
+    row = F.lit(r"\|\s*\d+\s*\|\s*([^|]+?)\s*\|\s*(\d{16})\s*\|")
+    return F.arrays_zip(F.regexp_extract_all(text, row, 1).alias("name"), F.regexp_extract_all(text, row, 2).alias("nik"))
+
+
+def member_ids(text: Column) -> Column:
+    """Members' numbers in order: lines whose digits are 16, else every run of 16; never the family card's own."""
+    in_lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), digits_only), lambda d: F.length(d) == 16)
+    without = lambda numbers: F.array_distinct(F.array_remove(numbers, F.coalesce(family_number(text), F.lit(""))))
+    return F.when(F.size(without(in_lines)) > 0, without(in_lines)).otherwise(without(runs(text, 16, 16)))
+
+
+def birthdate_in(text: Column, number: Column) -> Column:
+    """The birth date an identity number holds, as dd-MM-yyyy, if the text shows it; else null.
+
+    Years of two digits up to 30 are of this century; the number's own year may be of either.
+    """
+    number = digits_only(number)
+    born = birthdate(number)
+    pattern = r"\b(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})\b"
+
+    def shown(raw: Column) -> Column:
+        y = F.regexp_extract(raw, pattern, 3).cast("int")
+        year = F.when(y > 99, y).when(y <= 30, y + 2000).otherwise(y + 1900)
+        return F.struct(F.regexp_extract(raw, pattern, 1).cast("int").alias("day"), F.regexp_extract(raw, pattern, 2).cast("int").alias("month"), year.alias("year"))
+
+    def same(d: Column) -> Column:
+        return (d["day"] == born["day"]) & (d["month"] == born["month"]) & d["year"].isin(born["year"] + 2000, born["year"] + 1900)
+
+    dates = F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), shown), same)
+    valid = (F.length(number) == 16) & born["day"].between(1, 31) & born["month"].between(1, 12)
+    first = F.get(dates, F.lit(0))
+    return F.when(valid & (F.size(dates) > 0), F.format_string("%02d-%02d-%d", first["day"], first["month"], first["year"]))
+
+
+#: Accounts that forms give as examples.
+EXAMPLE_ACCOUNTS = ("1234567890", "1234567891011", "0123456789124", "0123456789")
+
+
+def account_check(text: Column, expected: Column, most: int = 12) -> Column:
+    """struct(account_pass, method, visible, shown) of an expected account against the accounts of a text.
+
+    account_pass is null for fewer than 10 digits; an example account passes if any account is visible;
+    the best method of any account counts.
+    """
+    e, found = digits_only(expected), spoken_accounts(text)
+    order = ("exact", "leading_zero", "one_digit_off", "missing_digit")
+    methods = F.transform(found, lambda a: account_method(a, e))
+    best = F.coalesce(*(F.when(F.array_contains(methods, kind), kind) for kind in order))
+    example, visible = e.isin(*EXAMPLE_ACCOUNTS), F.size(found) > 0
+    how = F.when(example, F.when(visible, "placeholder_visible_account")).otherwise(best)
+    asked = F.length(e) >= 10
+    return F.struct(F.when(asked, how.isNotNull()).alias("account_pass"), F.when(asked, how).alias("method"), visible.alias("visible"), F.slice(found, 1, most).alias("shown"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, ids
 from ..functions.names import holder_match
+from . import outcomes
 
 
 def as_bool(value: Column) -> Column:
@@ -48,7 +49,7 @@ GATES = {
     g.profile: g
     for g in (
         GateSpec("ktp", ("is_ktp",), use_id=True, number="nik"),
-        GateSpec("npwp", ("is_npwp",), use_id=True, number="npwp_number"),
+        GateSpec("npwp", ("is_npwp",), use_name=False, use_id=True, number="npwp_number"),
         GateSpec("pemadanan_npwp", ("is_pemadanan_npwp",), ("is_login",), use_id=True, number="nik"),
         GateSpec("rekening", ("is_front_page",), ("is_transaction_home", "is_product_list", "is_passbook", "is_statement"), use_bank=True, use_account=True, number="account_number"),
         GateSpec("mutasi", ("is_mutation",), use_name=False, use_bank=True, use_account=True, number="account_number"),
@@ -214,6 +215,7 @@ def fallback_merge(rows: DataFrame, least: float = 60.0) -> DataFrame:
 
 
 def verdict(rows: DataFrame) -> DataFrame:
-    """Whose document it is: null where identity was not evaluated or the type is wrong."""
+    """Whose document it is: null where identity was not evaluated or the type is wrong; the status of its ``error_kind`` where rows have one."""
     own = F.when(F.coalesce(F.col("type_pass"), F.lit(False)), F.col("identity_pass"))
-    return rows.withColumn("is_own_document", own).withColumn("http_status", F.when(F.col("document_matched").isNotNull(), 200).otherwise(500))
+    status = F.when(F.col("document_matched").isNotNull(), 200).otherwise(outcomes.http_status(F.col("error_kind")) if "error_kind" in rows.columns else F.lit(500))
+    return rows.withColumn("is_own_document", own).withColumn("http_status", status)

@@ -78,3 +78,26 @@ def storable(uploads: DataFrame, most_bytes: int = 12 << 20) -> DataFrame:
     known = F.lower(F.regexp_extract("name", r"\.(jpe?g|png|webp|pdf)$", 1))
     kind = F.coalesce(F.nullif(known, F.lit("")), magic(F.col("content")))
     return uploads.withColumn("kind", kind).where((F.length("content") <= most_bytes) & F.col("kind").isNotNull())
+
+
+def clear(spark, path: str, kept_at: str) -> int:
+    """Counts a JSON-lines log's rows, leaves one row that says when it was cleared, returns the count.
+
+    The stamp is written to ``kept_at`` before the log is emptied, so a run that ends in between loses no row unseen.
+    """
+    n = spark.read.json(path).count()
+    stamp = spark.range(1).select(F.lit("cleared").alias("event"), F.current_timestamp().alias("at"), F.lit(n).alias("rows"))
+    stamp.write.mode("append").json(kept_at)
+    spark.createDataFrame([], "event string").write.mode("overwrite").json(path)
+    return n
+
+
+def stored_files(log: DataFrame, files: DataFrame) -> DataFrame:
+    """log(id) with the stored file's name by files(id, file); null where none is stored."""
+    return log.join(files.select("id", "file"), "id", "left")
+
+
+def folders(names: DataFrame, listing: DataFrame) -> DataFrame:
+    """names(file) with the first folder, by name, of listing(folder, file) that holds it; null where none does."""
+    first = listing.groupBy("file").agg(F.min("folder").alias("folder"))
+    return names.join(first, "file", "left")

@@ -54,10 +54,15 @@ def by_suffix(files: DataFrame) -> DataFrame:
 
 
 def chunk_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """chunks(doc_id, n, ...) with vectors(doc_id, n, vector); a document with other numbers of either is an error row."""
-    sizes = chunks.groupBy("doc_id").count().join(vectors.groupBy("doc_id").agg(F.count("*").alias("have")), "doc_id", "left")
-    bad = sizes.where(F.col("count") != F.coalesce("have", F.lit(0))).select("doc_id")
-    return chunks.join(bad, "doc_id", "left_anti").join(vectors, ["doc_id", "n"])
+    """chunks(doc_id, n, ...) with vectors(doc_id, n, vector) and error, null for whole documents.
+
+    A document with other numbers of either is one row of its doc_id and the error alone.
+    """
+    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("_chunks")).join(vectors.groupBy("doc_id").agg(F.count("*").alias("_vectors")), "doc_id", "full")
+    bad = sizes.where(~F.col("_chunks").eqNullSafe(F.col("_vectors")))
+    note = F.format_string("%d chunks, %d vectors", F.coalesce("_chunks", F.lit(0)), F.coalesce("_vectors", F.lit(0)))
+    whole = chunks.join(bad.select("doc_id"), "doc_id", "left_anti").join(vectors, ["doc_id", "n"]).withColumn("error", F.lit(None).cast("string"))
+    return whole.unionByName(bad.select("doc_id", note.alias("error")), allowMissingColumns=True)
 
 
 def fetch(index: DataFrame, doc_id: str, most: int = 200) -> DataFrame:
