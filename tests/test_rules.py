@@ -106,3 +106,15 @@ def test_sections_logs_and_vectors(spark, tmp_path):
     assert spark.read.schema("event string").json(path).count() == 0 and spark.read.json(str(tmp_path / "stamps")).first()["rows"] == 2
     listing = spark.createDataFrame([("b", "x.png"), ("a", "x.png")], "folder string, file string")
     assert [r["folder"] for r in logs.folders(spark.createDataFrame([("x.png",), ("y.png",)], "file string"), listing).orderBy("file").collect()] == ["a", None]
+
+
+def test_sql_functions(spark):
+    from verifold.plans.register import register
+
+    assert len(register(spark)) == len(set(register(spark))) == 14
+    row = spark.sql(
+        "SELECT normalize_text('  A \t b\n') AS n, digits_only('a1-2') AS d, compact_text('A-b 1') AS c, fold_letters('O1l') AS l, expiry_state(DATE'2024-01-01', NULL, DATE'2024-01-02') AS e,"
+        " identity('budi santoso', 'Budi Santoso').score AS s, letter_dates('bekasi 15 juni 2026 dokter').checked AS day, size(members_of(array('BUDI SANTOSO', 'aktif'))) AS m"
+    ).first()
+    assert tuple(row) == ("a b", "12", "ab1", "011", "missing", 100.0, date(2026, 6, 15), 1)
+    assert spark.sql("SELECT normalize_text(NULL) AS n").first()["n"] is None
