@@ -212,3 +212,30 @@ def compare_names(docs: DataFrame, text: str, expected: str, *keys: str, thresho
     best = each.groupBy(*keys).agg(F.max(F.struct(F.col("_s.score").alias("score"), (-F.col("_pos")).alias("before"), F.col("candidate"), F.col("_s.gate").alias("gate"))).alias("b"))
     found = F.col("b.score") > 0
     return best.select(*keys, F.when(found, F.col("b.candidate")).alias("candidate"), F.col("b.score").alias("score"), ((F.col("b.score") >= threshold) & F.col("b.gate")).alias("matched"))
+
+
+#: Anchors that prove a document's type although its keywords don't: (profile, name, condition on text and passes).
+ANCHORS = (
+    (("npwp", "pemadanan_npwp"), "npwp_tax_id_anchor", lambda t, own, bank, account: _bare(t).contains("npwp") & _bare(t).rlike(r"\d{15,16}")),
+    (("ktp",), "ktp_nik_anchor", lambda t, own, bank, account: _bare(t).rlike(r"\d{16}") & ((signals("ktp", t) >= 3) | ((signals("ktp", t) >= 2) & own))),
+    (("bpjs",), "bpjs_identity_field_anchor", lambda t, own, bank, account: own & (signals("bpjs", t) >= 2)),
+    (("jkn",), "jkn_kis_or_info_anchor", lambda t, own, bank, account: own & _bare(t).rlike("kartuindonesiasehat|infopeserta|namapeserta")),
+    (("rekening",), "rekening_identity_account_anchor", lambda t, own, bank, account: bank & (own | account)),
+    (("mutasi",), "mutasi_account_anchor", lambda t, own, bank, account: bank & account),
+)
+
+
+def rescue_type(rows: DataFrame, text: str = "text", least: float = 0.7) -> DataFrame:
+    """rows(profile, exclusion, type_pass, identity_pass, bank_pass, account_pass, aggregate, type_ratio, boosts) with the types that anchors prove.
+
+    A rescued row passes, has at least the required ratio, and a boost of the anchor's name by what its
+    aggregate lacked.  Exclusions are never rescued; null passes count as not passed; others stay as they are.
+    """
+    said = lambda c: F.coalesce(F.col(c), F.lit(False))
+    hits = [F.when(F.col("profile").isin(*p) & F.coalesce(fits(F.col(text), said("identity_pass"), said("bank_pass"), said("account_pass")), F.lit(False)), name) for p, name, fits in ANCHORS]
+    out = rows.withColumn("_anchor", F.when(~said("exclusion") & ~said("type_pass"), F.coalesce(*hits)))
+    rescued = F.col("_anchor").isNotNull()
+    lacked = F.round(F.greatest(F.lit(0.0), least - F.col("aggregate")), 4)
+    out = out.withColumn("boosts", F.when(rescued, F.map_concat("boosts", F.create_map(F.coalesce("_anchor", F.lit("")), lacked))).otherwise(F.col("boosts")))
+    out = out.withColumn("type_ratio", F.when(rescued, F.greatest(F.col("type_ratio"), F.lit(least))).otherwise(F.col("type_ratio")))
+    return out.withColumn("type_pass", F.when(rescued, True).otherwise(F.col("type_pass"))).drop("_anchor")

@@ -216,3 +216,24 @@ def health_letters(spark, d):
     rows = health.gate(table(spark, d, "orders").withColumn("text", text), "text", 2020, 2035)
     iso = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format(day, "yyyy-MM-dd'T'HH:mm")).otherwise(F.lit("2024-02-30"))
     return rows.select("o_orderkey", health.iso_day(iso).alias("given"), F.col("valid_until").alias("until"))
+
+
+@query("""SELECT o_orderkey, coalesce(rescued, false) AS type_pass, CASE WHEN rescued THEN 0.7 ELSE 0.5 END AS type_ratio, CASE WHEN rescued THEN 0.3 END AS lacked FROM (
+ SELECT o_orderkey, o_custkey % 7 <> 0 AND CASE o_orderkey % 5 WHEN 0 THEN o_custkey % 2 = 0 WHEN 1 THEN o_custkey % 2 = 0 OR o_custkey % 3 = 0 WHEN 2 THEN o_custkey % 3 = 0
+ WHEN 3 THEN o_custkey % 2 = 0 AND o_custkey % 3 = 0 ELSE false END AS rescued FROM orders)""")
+def type_rescues(spark, d):
+    """Tax cards by their number, identity cards by fields, participant screens by the holder, statements by account; excluded ones never."""
+    half, third = F.col("o_custkey") % 2 == 0, F.col("o_custkey") % 3 == 0
+    text = F.array(
+        F.when(half, "NPWP 12.345 1234567890123456").otherwise("NPWP"),
+        F.when(half, "1234567890123456 WNI lahir RT/RW").otherwise("1234567890123456 WNI lahir"),
+        F.lit("Info  Peserta"), F.lit("e-statement"), F.lit("ijazah"),
+    )
+    nth = lambda names: F.element_at(names, (F.col("o_orderkey") % 5 + 1).cast("int"))
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", nth(F.array(*(F.lit(p) for p in ("npwp", "ktp", "jkn", "mutasi", "ijasah")))).alias("profile"), nth(text).alias("text"), (F.col("o_custkey") % 7 == 0).alias("exclusion"),
+        F.lit(False).alias("type_pass"), F.when(third, True).alias("identity_pass"), half.alias("bank_pass"), third.alias("account_pass"),
+        F.lit(0.4).alias("aggregate"), F.lit(0.5).alias("type_ratio"), F.create_map(F.lit("structural"), F.lit(0.1)).alias("boosts"),
+    )
+    anchor = F.get(F.map_values(F.map_filter("boosts", lambda k, _: k.endswith("_anchor"))), F.lit(0))
+    return outcomes.rescue_type(rows).select("o_orderkey", "type_pass", "type_ratio", anchor.alias("lacked"))
