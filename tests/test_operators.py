@@ -145,3 +145,17 @@ def test_logs(spark):
     assert sorted(r.k for r in logs.upsert(old, new, "k", "v").collect()) == ["a", "b", "c"]
     assert [r.k for r in logs.delete(old, "k", ["a"]).collect()] == ["b"]
     assert logs.newest(old, 0, order=("v", "k")).count() == 0
+
+
+def test_upsert_takes_the_first_stored_of_equal_versions(spark, tmp_path):
+    """The rows of the SQL where versions tie across files of unequal size, and where versions or values are null."""
+    import duckdb
+
+    lines = tmp_path / "lineitem.parquet"
+    lines.mkdir()
+    sql = duckdb.connect(config={"threads": 1})
+    for name, rows in (("a", "SELECT i AS k, 5 AS n, i AS p FROM range(10) t(i)"), ("b", "SELECT i % 1000 AS k, 5 - i // 1000 % 2 AS n, i + 100 AS p FROM range(60000) t(i)"), ("c", "SELECT * FROM (VALUES (2000, NULL, 1), (2001, 1, 7), (2001, 4, NULL), (NULL, 2, 3))")):
+        sql.execute(f"COPY (SELECT k::BIGINT AS l_orderkey, n::INT AS l_linenumber, p::BIGINT AS l_partkey FROM ({rows}) t(k, n, p)) TO '{lines}/{name}.parquet'")
+    sql.execute(f"CREATE VIEW lineitem AS FROM '{lines}/*.parquet'")
+    got = sorted(map(tuple, queries.Q["upsert_latest"](spark, str(tmp_path)).select("l_orderkey", "l_linenumber", "l_partkey").collect()), key=repr)
+    assert got == sorted(sql.sql(queries.SQL["upsert_latest"]).fetchall(), key=repr)

@@ -45,11 +45,20 @@ def orphans(uploads: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:
     return uploads.join(log.select(key).distinct(), key, "left_anti")
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: str, version: str) -> DataFrame:
-    """The row of the highest version for each key; on a tie the new one."""
+def upsert(table: DataFrame, rows: DataFrame, key: str, version: str, order: tuple = (), fill: bool = False) -> DataFrame:
+    """The row of the highest version for each key; on a tie the new one, then the first by ``order`` (columns that are left out of the result).
+
+    fill: nulls replace nothing, neither a value nor rows without a version; each column has the value of the highest version that has one.
+    """
     both = table.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.desc(version), F.desc("_new"))
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(version), F.desc("_new"), *order)
+    if fill:
+        every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        known = {c: F.first(F.when(F.col(version).isNotNull(), F.col(c)), ignorenulls=True).over(every) for c in table.columns if c not in (key, *order)}
+        both = both.select(key, "_new", *order, *(v.alias(c) for c, v in known.items()), F.row_number().over(w).alias("_n")).select(*table.columns, "_new", "_n")
+    else:
+        both = both.withColumn("_n", F.row_number().over(w))
+    return both.where("_n = 1").drop("_n", "_new", *order)
 
 
 def delete(table: DataFrame, key: str, values) -> DataFrame:
