@@ -290,6 +290,32 @@ def test_ngram_against_brute_force(spark, k, percent):
         assert got == {i: (find(i), len(s)) for i, s in enumerate(sets)}
 
 
+def test_ngram_cuts_chains(spark, monkeypatch):
+    """A cluster that only candidates hold together isn't multiplied block by block, which copies every set once a block."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(80))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 100)) + " " + passage for _ in range(60)]
+    texts += [t.replace("w", "near", 1) for t in texts[:5]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes, links = [], ngram_join.links
+
+    def chained(docs, join):
+        nodes = ngram_join.described(docs, join).select("class")
+        return nodes.crossJoin(nodes.agg(F.min("class").alias("a"))).select("a", F.col("class").alias("b"))
+
+    def measured(docs, classes, clusters, join):
+        sizes.extend(r["count"] for r in clusters.groupBy("root").count().collect())
+        return links(docs, classes, clusters, join)
+
+    monkeypatch.setattr(ngram_join, "candidates", chained)
+    monkeypatch.setattr(ngram_join, "links", measured)
+    got = {r.doc_id: r.component_id for r in ngram_join.groups(frame, ngram_join.Join(block_docs=8)).collect()}
+    assert got == {i: i if i < 60 else i - 60 for i in range(65)}
+    assert max(sizes) == 2
+
+
 def test_chat(spark):
     import itertools
 

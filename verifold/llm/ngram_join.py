@@ -13,7 +13,11 @@ most, and their sets differ in at most ``(a + b) * (100 - percent) / (100 + perc
    alone: if all parts that a linked pair agrees on are such, they are over spare in number in
    both, so the pair has two of them in common among a prefix of either's list, the rarest
    first (prefix filter), and such twos (in large sets such ones) are signatures again.
-3. Components of that graph are clusters.  A cluster's sets meet as a *sparse matrix product*:
+3. Components of that graph are clusters.  Many a large one is a chain of sets that share little,
+   so one over block_docs is cut again by prefixes of whole sets: in any one order of shingles
+   linked sets have one in common among the first ``n - ceil(percent * n / 100) + 1`` of each.  The
+   order puts shingles last that are frequent in some of the sets, so chains fall apart.
+   A cluster's sets meet as a *sparse matrix product*:
    the document by n-gram incidence is multiplied with its transpose in blocks of columns,
    overlaps accumulate, and pairs below the bound of their sizes are discarded.  A cluster
    over block_docs documents is cut into blocks, and every pair of blocks is a task of its own.
@@ -57,6 +61,7 @@ class Join:
     columns: int = 4096  # of the incidence matrix at a time
     few: int = 2  # a signature of more classes counts only together with others
     twos: int = 100  # parts of a band up to which they count in twos
+    ordered_by: int = 1024  # sets of large clusters, about, whose frequent shingles come last in the order (any order is exact)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -298,6 +303,53 @@ def product_links(sets: list[np.ndarray], join: Join, split: int | None = None)
     return at, root[at]
 
 
+def cut_large(docs: DataFrame, classes: DataFrame, clusters: DataFrame, join: Join = Join()) -> DataFrame:
+    """clusters (node, root) with those of over block_docs nodes cut; linked nodes stay together, nodes that can't link leave."""
+    large = common.materialize(clusters.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > join.block_docs), "large")
+    if not (n_large := large.count()):
+        common.discard(large)
+        return clusters
+    large = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
+    members = clusters.join(large, "root").select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    members = common.materialize(members.join(classes.select("class", F.col("row").alias("doc_id")), "class"), "members")
+    n_members = members.count()
+    near = F.broadcast(members) if n_members <= BROADCAST_ROWS else members
+    texts = common.materialize(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(near, "doc_id").select("class", "cluster", "text"), "texts", compression="zstd")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(join.words)
+        for batch in batches:
+            found = np.concatenate([np.zeros(0, U), *map(shingles.of, common.texts(batch))])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["hash"])
+
+    some = texts.where(F.pmod(F.xxhash64("class"), F.lit(-(-n_members // join.ordered_by))) == 0).select("text")
+    often = common.map_batches(some, hashes, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 2").toArrow()
+    order = np.argsort(known := often.column("hash").to_numpy().view(U))
+    held = docs.sparkSession.sparkContext.broadcast((known[order], often.column("n").to_numpy()[order]))
+    schema = pa.schema([("key", pa.int64()), ("class", pa.int64())])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, (known, n) = Shingles(join.words), held.value
+        for batch in batches:
+            keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for own, cluster, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch), strict=True):
+                found = shingles.of(text)
+                if not len(found) or _fingerprint(found) != own:  # another row of that doc_id has another text
+                    continue
+                at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
+                late = np.where(known[at] == found, n[at], 0) if len(known) else np.zeros(len(found), np.int64)
+                first = np.argsort(late, kind="stable")[: len(found) + (-join.percent * len(found) // 100) + 1]  # equal ones stay in the order of hashes
+                keys.append(mix(found[first] + U(cluster & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
+                owners.append(np.full(len(first), own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], schema=schema)
+
+    met = common.materialize(_scan(common.map_batches(texts, prefixes, "key long, class long"), None).select("a", "b").distinct(), "prefixes")
+    common.discard(texts)
+    out = components(met)
+    common.discard(met)
+    return clusters.join(large, "root", "left_anti").select("node", "root").union(out.select("node", "root"))
+
+
 def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, join: Join = Join()) -> DataFrame:
     """a, b (classes): enough of the links to connect every group.
 
@@ -359,7 +411,7 @@ def groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     rows = common.materialize(described(docs, join), "described")
     classes = common.materialize(rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("row")), "classes")
     edges = candidates(docs, join)
-    clusters = components(edges)
+    clusters = cut_large(docs, classes, components(edges), join)
     common.discard(edges)
     found = common.materialize(links(docs, classes, clusters, join), "links")
     roots = components(found)
