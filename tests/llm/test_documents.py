@@ -290,6 +290,31 @@ def test_ngram_against_brute_force(spark, k, percent):
         assert got == {i: (find(i), len(s)) for i, s in enumerate(sets)}
 
 
+def test_tasks_give_memory_back():
+    """What a task has freed goes back to the system when it ends, so a worker doesn't carry it into the next stage."""
+    import pyarrow as pa
+
+    from verifold.llm import common
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) >> 10
+
+    kept = []
+
+    def task(batches):
+        for batch in batches:
+            blocks = [bytes(60_000) + b"x" for _ in range(5_000)]  # 300 MB, below the size that is mapped by itself
+            kept.append(blocks[-1])  # stands behind them
+            yield batch
+
+    batch = pa.record_batch([pa.array([1])], names=["a"])
+    common.trim()
+    before = held()
+    assert list(common.trimmed(task)(iter([batch]))) == [batch]
+    assert held() - before < 100
+
+
 def test_ngram_cuts_chains(spark, monkeypatch):
     """A cluster that only candidates hold together isn't multiplied block by block, which copies every set once a block."""
     from pyspark.sql import functions as F

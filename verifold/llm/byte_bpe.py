@@ -319,6 +319,7 @@ def _map(docs: DataFrame, path: str, pattern: str, fn: Callable[[Codec, pa.Recor
             batch = pa.Table.from_batches(some).combine_chunks().to_batches()
             for b in batch:
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *fn(_codecs[tag], b)], schema=arrow)
+            common.trim()  # what a recursion took: some 250 MB of a worker
 
     return common.map_batches(docs.select("doc_id", column), run, schema)
 
