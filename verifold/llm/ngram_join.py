@@ -16,7 +16,7 @@ most, and their sets differ in at most ``(a + b) * (100 - percent) / (100 + perc
 3. Components of that graph are clusters.  Many a large one is a chain of sets that share little,
    so one over block_docs is cut again by prefixes of whole sets: in any one order of shingles
    linked sets have one in common among the first ``n - ceil(percent * n / 100) + 1`` of each.  The
-   order puts shingles last that are frequent in some of the sets, so chains fall apart.
+   order puts frequent shingles last and those of one set first, so chains fall apart.
    A cluster's sets meet as a *sparse matrix product*:
    the document by n-gram incidence is multiplied with its transpose in blocks of columns,
    overlaps accumulate, and pairs below the bound of their sizes are discarded.  A cluster
@@ -42,7 +42,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -61,7 +61,6 @@ class Join:
     columns: int = 4096  # of the incidence matrix at a time
     few: int = 2  # a signature of more classes counts only together with others
     twos: int = 100  # parts of a band up to which they count in twos
-    ordered_by: int = 1024  # sets of large clusters, about, whose frequent shingles come last in the order (any order is exact)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -316,34 +315,27 @@ def cut_large(docs: DataFrame, classes: DataFrame, clusters: DataFrame, join: Jo
     near = F.broadcast(members) if n_members <= BROADCAST_ROWS else members
     texts = common.materialize(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(near, "doc_id").select("class", "cluster", "text"), "texts", compression="zstd")
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(join.words)
-        for batch in batches:
-            found = np.concatenate([np.zeros(0, U), *map(shingles.of, common.texts(batch))])
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["hash"])
-
-    some = texts.where(F.pmod(F.xxhash64("class"), F.lit(-(-n_members // join.ordered_by))) == 0).select("text")
-    often = common.map_batches(some, hashes, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 2").toArrow()
-    order = np.argsort(known := often.column("hash").to_numpy().view(U))
-    held = docs.sparkSession.sparkContext.broadcast((known[order], often.column("n").to_numpy()[order]))
-    schema = pa.schema([("key", pa.int64()), ("class", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("size", pa.int64())])
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, (known, n) = Shingles(join.words), held.value
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(join.words)
         for batch in batches:
-            keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            keys, owners, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for own, cluster, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch), strict=True):
                 found = shingles.of(text)
-                if not len(found) or _fingerprint(found) != own:  # another row of that doc_id has another text
-                    continue
-                at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
-                late = np.where(known[at] == found, n[at], 0) if len(known) else np.zeros(len(found), np.int64)
-                first = np.argsort(late, kind="stable")[: len(found) + (-join.percent * len(found) // 100) + 1]  # equal ones stay in the order of hashes
-                keys.append(mix(found[first] + U(cluster & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
-                owners.append(np.full(len(first), own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], schema=schema)
-
-    met = common.materialize(_scan(common.map_batches(texts, prefixes, "key long, class long"), None).select("a", "b").distinct(), "prefixes")
+                if len(found) and _fingerprint(found) == own:  # another row of that doc_id has another text
+                    keys.append(mix(found + U(cluster & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
+                    owners.append(np.full(len(found), own))
+                    sizes.append(np.full(len(found), len(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, sizes)], schema=schema)
+
+    # A set's shingles that no other set of the cluster has come first in the order and meet nothing, so only the others go on.
+    w = Window.partitionBy("key")
+    shared = common.map_batches(texts, keyed, "key long, class long, size long").select("*", F.count("*").over(w).alias("n"), F.min("class").over(w).alias("least"), F.max("class").over(w).alias("most")).where("least <> most")
+    lists = shared.groupBy("class", "size").agg(F.array_sort(F.collect_set(F.struct("n", "key"))).alias("ranked"))
+    spare = F.size("ranked") - F.expr(f"cast((size * {join.percent} + 99) div 100 as int)")  # below 0: links with nothing
+    first = lists.where(spare >= 0).select("class", F.explode(F.slice("ranked", F.lit(1), spare + 1)).alias("first"))
+    met = common.materialize(_scan(first.select("first.key", "class"), None).select("a", "b").distinct(), "prefixes")
     common.discard(texts)
     out = components(met)
     common.discard(met)
