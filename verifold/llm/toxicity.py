@@ -6,9 +6,11 @@ have a feature is counted over all training rows.  A feature's weight in a text
 frequency's logarithm times its inverse document frequency times the cube of how surely the
 classes differ in it (the lower bound of its log odds; a feature whose bound is zero has no
 weight).  The examples' unit vectors stand in an inverted index whose postings are cut into blocks with the greatest weight of each.  A text's
-nearest examples by cosine are found exactly: short postings are summed; of the long ones only
-the blocks' greatest weights, and where that bound reaches the nearest so far, whole
-products.  Distance-weighted votes give a raw score, which a logistic curve fitted on
+nearest examples by cosine are found exactly: a batch of texts meets the longest postings as a
+dense product in single precision and sums the others; examples that reach the k-th nearest
+within that product's greatest error get whole products in double precision.  A text with
+fewer near examples takes the blocks' greatest weights as bounds of the long postings in place
+of that.  Distance-weighted votes give a raw score, which a logistic curve fitted on
 left-one-out votes of the examples calibrates.  The neighbours are the evidence.
 
 Only the index (bounded by the sample's size) is sent to the tasks; documents are scored
@@ -98,22 +100,86 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Unit vectors by example and by feature, and each feature's greatest weight in blocks of ``block`` examples."""
 
+    #: The longest postings that are also held as a dense matrix, and the texts that meet it at once.
+    DENSE, TEXTS = 2048, 256
+
     def __init__(self, vectors: list[Sparse], n_features: int, block: int = 64):
-        self.block, self.n, self.n_features = block, len(vectors), n_features
         size = np.array([len(f) for f, _ in vectors], np.int64)
-        self.own_first = np.append(0, np.cumsum(size))
-        self.own_f = np.concatenate([f for f, _ in vectors] or [np.zeros(0, np.int64)])
-        self.own_w = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        example = np.repeat(np.arange(self.n), size)
-        order = np.lexsort((example, self.own_f))
-        self.at, self.w = example[order], self.own_w[order]
-        feature = self.own_f[order]
+        own_f = np.concatenate([f for f, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int32)
+        self._build(np.append(0, np.cumsum(size)), own_f, np.concatenate([w for _, w in vectors] or [np.zeros(0)]), n_features, block)
+
+    def __getstate__(self):
+        return self.own_first, self.own_f, self.own_w, self.n_features, self.block  # the rest follows from it
+
+    def __setstate__(self, state) -> None:
+        self._build(*state)
+
+    def _build(self, own_first: np.ndarray, own_f: np.ndarray, own_w: np.ndarray, n_features: int, block: int) -> None:
+        self.own_first, self.own_f, self.own_w, self.n_features, self.block = own_first, own_f, own_w, n_features, block
+        self.n = len(own_first) - 1
+        order = np.argsort(own_f, kind="stable")
+        self.at, self.w = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(own_first))[order], own_w[order]
+        feature = own_f[order]
         self.first = np.searchsorted(feature, np.arange(n_features + 1))
-        key = feature * (self.n // block + 1) + self.at // block
+        key = feature.astype(np.int64) * (self.n // block + 1) + self.at // block
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         self.block_at, self.block_max = self.at[start] // block, np.maximum.reduceat(self.w, start) if len(key) else self.w
         self.block_first = np.searchsorted(feature[start], np.arange(n_features + 1))
         self.long = np.diff(self.first) > max(self.n // 4, block)
+        self.column = None  # of a feature in the dense matrix; made when texts are first searched
+
+    def _make_dense(self) -> None:
+        size = np.diff(self.first)
+        most = np.sort(np.argsort(-size, kind="stable")[: self.DENSE])
+        most = most[size[most] > self.n // 20]
+        self.column = np.full(self.n_features, -1, np.int32)
+        self.column[most] = np.arange(len(most))
+        self.dense = np.zeros((len(most), self.n), np.float32)
+        rows = _spans(self.first[most], size[most])
+        self.dense[np.repeat(np.arange(len(most)), size[most]), self.at[rows]] = self.w[rows]
+        self.scratch = np.zeros(self.n_features)
+
+    def nearest(self, vectors: list[Sparse], k: int, skip: int = -1) -> list[list[tuple[float, int]]]:
+        """search() of each of the vectors.  skip: the example left out of the first's, the next of the next's and so on."""
+        if self.n <= k:
+            return [self.search(v, k, skip + i if skip >= 0 else -1) for i, v in enumerate(vectors)]
+        if self.column is None:
+            self._make_dense()
+        out = []
+        for lo in range(0, len(vectors), self.TEXTS):
+            part = vectors[lo : lo + self.TEXTS]
+            f, w = (np.concatenate([v[i] for v in part]) for i in (0, 1))
+            text = np.repeat(np.arange(len(part)), [len(v[0]) for v in part])
+            column = self.column[f]
+            in_dense = column >= 0
+            left = np.zeros((len(part), len(self.dense)), np.float32)
+            left[text[in_dense], column[in_dense]] = w[in_dense]
+            f, w, text = f[~in_dense], w[~in_dense], text[~in_dense]
+            size = self.first[f + 1] - self.first[f]
+            rows = _spans(self.first[f], size)
+            about = (left @ self.dense).astype(float)
+            about += np.bincount(np.repeat(text * self.n, size) + self.at[rows], np.repeat(w, size) * self.w[rows], about.size).reshape(about.shape)
+            if skip >= 0:
+                about[np.arange(len(part)), skip + lo + np.arange(len(part))] = -1.0
+            least = np.partition(about, self.n - k, axis=1)[:, self.n - k]
+            for i, (v, row) in enumerate(zip(part, about, strict=True)):
+                # Terms are not negative and sum to 1 at most, so rounding errs by less than this.
+                wrong = (len(v[0]) + 8) * 2.0**-23
+                if least[i] <= 2 * wrong:
+                    out.append(self.search(v, k, skip + lo + i if skip >= 0 else -1))
+                    continue
+                some = np.flatnonzero(row >= least[i] - 2 * wrong)
+                self.scratch[v[0]] = v[1]
+                scores = self._exact(some, self.scratch)
+                self.scratch[v[0]] = 0
+                order = np.lexsort((some, -scores))[:k]
+                out.append(list(zip(scores[order].tolist(), some[order].tolist(), strict=True)))
+        return out
+
+    def _exact(self, examples: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        size = self.own_first[examples + 1] - self.own_first[examples]
+        rows = _spans(self.own_first[examples], size)
+        return np.bincount(np.repeat(np.arange(len(examples)), size), dense[self.own_f[rows]] * self.own_w[rows], len(examples))
 
     def _sum(self, f: np.ndarray, w: np.ndarray, first: np.ndarray, at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
         size = first[f + 1] - first[f]
@@ -145,10 +211,7 @@ class BlockMaxIndex:
                 part = best[lo : lo + 256]
                 if len(scores) >= k and bound[part[0]] < np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-12:
                     break
-                size = self.own_first[part + 1] - self.own_first[part]
-                rows = _spans(self.own_first[part], size)
-                exact = np.bincount(np.repeat(np.arange(len(part)), size), dense[self.own_f[rows]] * self.own_w[rows], len(part))
-                found, scores = np.append(found, part), np.append(scores, exact)
+                found, scores = np.append(found, part), np.append(scores, self._exact(part, dense))
         else:
             found, scores = some, near[some]
         order = np.lexsort((found, -scores))[:k]
@@ -187,12 +250,11 @@ class Fitted:
         p = self.model.prior_votes
         return math.log((yes + p * self.base_rate + 1e-6) / (no + p * (1 - self.base_rate) + 1e-6))
 
-    def score(self, counts: Sparse) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.search(self.vector(counts), self.model.neighbours)
-        if not near:
-            return self.plain_score, near
-        a, b = self.curve
-        return 1 / (1 + math.exp(-max(-35.0, min(35.0, a * self.raw(near) + b)))), near
+    def scores(self, counts: list[Sparse]) -> list[tuple[float, list[tuple[float, int]]]]:
+        out, (a, b) = [], self.curve
+        for near in self.index.nearest([self.vector(c) for c in counts], self.model.neighbours):
+            out.append((1 / (1 + math.exp(-max(-35.0, min(35.0, a * self.raw(near) + b)))) if near else self.plain_score, near))
+        return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -296,7 +358,7 @@ def fit(rows: DataFrame, model: Model = Model()) -> Fitted | None:
     fitted.weight = np.array([stands_for[y] for *_, y in made], float)
     fitted.index = BlockMaxIndex([v for v, *_ in made], len(names), model.block)
     if made:
-        held_out = np.array([fitted.raw(fitted.index.search(v, model.neighbours, skip=i)) for i, (v, *_) in enumerate(made)])
+        held_out = np.array(list(map(fitted.raw, fitted.index.nearest([v for v, *_ in made], model.neighbours, skip=0))))
         fitted.curve = _logistic(held_out, fitted.toxic, fitted.weight)
     return fitted
 
@@ -310,7 +372,7 @@ def _scores(docs: DataFrame, fitted: Fitted | None):
         if own is None:
             return lambda texts: [(0.0, []) for _ in texts]
         known = Vectors(own.features, own.model.prefixes)
-        return lambda texts: [own.score(c) for c in known.counts(texts)]
+        return lambda texts: own.scores(known.counts(texts))
 
     return start, held
 
