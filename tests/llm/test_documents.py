@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from verifold.llm import byte_bpe, chat_format, ngram_join, ppm_score, quality_rules, source_mix, token_files, toxicity, url_filter
+from verifold.llm import byte_bpe, chat_format, common, ngram_join, ppm_score, quality_rules, source_mix, token_files, toxicity, url_filter
 
 tokenizers = pytest.importorskip("public_tokenizers")
 LONG = "wort " * 3000 + "x" * 1000
@@ -398,3 +398,16 @@ def test_chat(spark):
     assert len(long) == 400 and all(r.action == "keep" for r in long)
     assert [(r.role, r.action) for r in got if r.conv_id is None] == [("user", "relabel")]  # cheaper than an empty user turn
     assert chat_format.apply(table.limit(0)).count() == 0
+
+
+def test_driver_gives_memory_back(spark):
+    """What a step took in the driver's Python is the system's again when the next table is written."""
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    held = [(str(i) * 200).encode() for i in range(150_000)]
+    last = b"x" * 1000 + held[-1][:1]  # stands behind them, so that the C library doesn't shrink its heap by itself
+    before = resident()
+    del held
+    common.materialize(spark.range(3), "three")
+    assert last and resident() < before - (60 << 20)

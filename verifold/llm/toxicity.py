@@ -155,10 +155,10 @@ class BlockMaxIndex:
             left = np.zeros((len(part), len(self.dense)), np.float32)
             left[text[in_dense], column[in_dense]] = w[in_dense]
             f, w, text = f[~in_dense], w[~in_dense], text[~in_dense]
-            size = self.first[f + 1] - self.first[f]
-            rows = _spans(self.first[f], size)
             about = (left @ self.dense).astype(float)
-            about += np.bincount(np.repeat(text * self.n, size) + self.at[rows], np.repeat(w, size) * self.w[rows], about.size).reshape(about.shape)
+            ends = np.searchsorted(text, np.arange(len(part) + 1))
+            for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):  # one text's postings at a time are held
+                about[i] += self._sum(f[a:b], w[a:b], self.first, self.at, self.w, self.n)
             if skip >= 0:
                 about[np.arange(len(part)), skip + lo + np.arange(len(part))] = -1.0
             least = np.partition(about, self.n - k, axis=1)[:, self.n - k]
@@ -312,14 +312,17 @@ def fit(rows: DataFrame, model: Model = Model()) -> Fitted | None:
             )
 
     sample = common.map_batches(some.select("doc_id", "toxic", "text"), described, "doc_id long, toxic boolean, features array<string>, counts array<long>").toArrow()
+    ids, marks = sample.column("doc_id").to_pylist(), sample.column("toxic").to_pylist()
+    own_n = sample.column("counts").combine_chunks().flatten().to_numpy().astype(float)
     lists = sample.column("features").combine_chunks()
-    coded, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(sample) else 0)
+    del sample  # what is not needed any more goes at once: all examples' features are here
+    coded, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+    del lists
     order = pc.sort_indices(coded.dictionary).to_numpy()
     names = coded.dictionary.take(pa.array(order)).to_pylist()
     own_f = np.argsort(order)[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
-    own_n = sample.column("counts").combine_chunks().flatten().to_numpy().astype(float)
-    ids, marks = sample.column("doc_id").to_pylist(), sample.column("toxic").to_pylist()
-    del sample, lists, coded
+    del coded, order
+    common.trim()
     held = spark.sparkContext.broadcast(names)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,6 +336,7 @@ def fit(rows: DataFrame, model: Model = Model()) -> Fitted | None:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), bool(y))), pa.array(n[y, at])], names=["feature", "toxic", "n"])
 
     counted = common.map_batches(rows.select("toxic", "text"), seen, "feature long, toxic boolean, n long").groupBy("feature", "toxic").agg(F.sum("n").alias("n")).toArrow()
+    held.destroy()
     n = np.zeros((2, len(names) + 1))
     n[counted.column("toxic").to_numpy().astype(int), counted.column("feature").to_numpy()] = counted.column("n").to_numpy()
     (plain_clean, plain_toxic), (in_clean, in_toxic) = n[:, -1], n[:, :-1]
@@ -360,12 +364,16 @@ def fit(rows: DataFrame, model: Model = Model()) -> Fitted | None:
     if made:
         held_out = np.array(list(map(fitted.raw, fitted.index.nearest([v for v, *_ in made], model.neighbours, skip=0))))
         fitted.curve = _logistic(held_out, fitted.toxic, fitted.weight)
+    fitted.index.column = fitted.index.dense = None  # the driver asks no more
+    del made, own_f, own_n, ids, marks, number
+    common.trim()
     return fitted
 
 
 def _scores(docs: DataFrame, fitted: Fitted | None):
     """A function of a batch of texts, for the tasks: scores and neighbours."""
     held = docs.sparkSession.sparkContext.broadcast(fitted)
+    common.trim()  # what pickling took
 
     def start():
         own = held.value
