@@ -96,6 +96,29 @@ def test_bpe(spark, docs, none):
     assert [bytes(r.decoded).decode() for r in byte_bpe.decode(encoded, path, tokenizers.PATTERN).collect()] == [t for _, t in each(docs)]
 
 
+def test_bpe_marks_and_memory():
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    own = byte_bpe.Codec(byte_bpe.read_ranks(path), tokenizers.PATTERN)
+    pattern, cut = own.split, []
+
+    class Counted:
+        def findall(self, text):
+            cut.append(text)
+            return pattern.findall(text)
+
+    own.split = Counted()
+    texts = ["x wort*** Straße.,; über### naïve&&&", "x don't a1 wort's", "", "x漢字!?  y"]
+    first = own.encode(texts)
+    # letters and the marks after them are cut without the pattern
+    assert sorted(filter(str.strip, cut)) == sorted(["x", " don't", " a1", " wort's", "x漢字!?", "  y"])
+    for x in (own.tokens, own.units, own.runs):
+        x.most = 0  # everything is forgotten after each call
+    for _ in range(2):
+        ids, sizes = own.encode(texts)
+        assert (ids.tolist(), sizes.tolist()) == (first[0].tolist(), first[1].tolist())
+        assert own.decode(ids, sizes) == [t.encode() for t in texts] and not len(own.tokens.keys)
+
+
 def test_token_files(spark, docs, none, tmp_path):
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(tokenizers.path("word_bpe_49k.json"))
     for n, table in enumerate((docs, none)):

@@ -23,6 +23,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +32,18 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import common
-from .common import Memory
+from .common import BYTES, Lexicon
 
 #: Unicode white space; Python's own class has four control characters more.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: White space beside a space, where the pieces between single spaces are not the segments.
-ODD = re.compile(f"[{SPACE}] | [{SPACE}]")
+ODD = re.sub(r"\\u(....)", r"\\x{\1}", f"[{SPACE}] | [{SPACE}]")  # for Arrow
 CUT = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 SHIFT = 1 << 20  # ids are below this
-CHUNK = 4 << 20  # bytes of text at a time
+CHUNK = 8 << 20  # bytes of text at a time
 ROWS = 1 << 19  # token rows of one recursion, about
-MARKS = frozenset(".,;:!?")
+MARKS = ".,;:!?*%&$#"
 
 #: What the vocabulary says about two tokens side by side.  A pair that no token has in it never
 #: merges, nor does anything across it.  m: the token that both make.  onward, back: the least
@@ -117,6 +118,14 @@ def own_spaces(pattern: str) -> str:
     return pattern.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]")
 
 
+@cache
+def letters() -> str:
+    """A class of the letters of the first plane, as the pattern's library has them."""
+    found = np.array([ord(c) for c in regex.findall("\\p{L}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)])))])
+    last = np.append(np.diff(found) > 1, True)
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(found[np.append(True, last[:-1])], found[last], strict=True))
+
+
 def _connect(threads: int, megabytes: int):
     import duckdb
 
@@ -149,8 +158,8 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: pa.Table | None = None):
         self.ranks, self.split = ranks, regex.compile(own_spaces(pattern))
-        # whether the pattern takes a space with letters, and a mark by itself
-        self.plain = all(self.split.findall(a + b) == [a, *b] for a, b in ((" é", "."), (" ñandú", "!"), (" 漢字", ","), (" ªº", "")))
+        # whether the pattern takes a space with letters, and marks after them together
+        self.plain = all(self.split.findall(a + b) == [a, b] for a in (" é", " ñandú", " 漢字", " ªº") for b in (MARKS, MARKS[::-1], *MARKS))
         self.sql = _connect(1, 200)
         _load(self.sql, vocabulary=_vocabulary(ranks), beside=beside(ranks) if pairs is None else pairs)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
@@ -163,7 +172,9 @@ class Codec:
         self.dead[live[a[both]], live[b[both]]] = False
         self.starts = np.zeros(max(ranks.values()) + 1, bool)
         self.starts[[i for t, i in ranks.items() if t[0] < 128 and not t[:1].isalnum()]] = True
-        self.tokens, self.units, self.runs = Memory(20 << 20), Memory(40 << 20), Memory(24 << 20)
+        self.vocabulary = pa.array(ranks, BYTES)
+        self.ids = np.fromiter(ranks.values(), "<u4", len(ranks))
+        self.tokens, self.units, self.runs = Lexicon(self.contract, 64 << 20), Lexicon(self.learn, 32 << 20), Lexicon(self.spell, 32 << 20)
 
     def query(self, sql: str, **tables: pa.Table) -> pa.Table:
         for name, table in tables.items():
@@ -175,90 +186,100 @@ class Codec:
                 self.sql.unregister(name)
 
     # -- encoding
-    def contract(self, words: list[bytes]) -> list[bytes]:
+    def contract(self, words: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
         """The ids of each word, packed as little-endian 32-bit integers."""
-        out = [b"" if not w else b"" if (whole := self.ranks.get(w)) is None else whole.to_bytes(4, "little") for w in words]
-        rows = [i for i, w in enumerate(words) if w and not out[i]]
-        for part in common.slices(rows, CHUNK, lambda i: len(words[i])):
-            raw = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
-            ends = np.cumsum([len(words[i]) for i in part])
-            last = np.append(self.dead[raw[:-1], raw[1:]], True)  # nothing merges across these places
-            last[ends - 1] = True
-            ids, places, lo = [], [], 0
-            while lo < len(raw):  # bounds what one recursion holds
-                hi = lo + ROWS
-                hi = len(raw) if hi >= len(raw) else hi + int(np.argmax(last[hi:])) + 1
-                t = self.of_byte[raw[lo:hi]]
-                rows_in = pa.table({"g": np.arange(lo, hi, dtype=np.int32), "t": t, "b": pa.array(np.append(t[1:], 0), pa.int32(), mask=last[lo:hi])})
-                got = self.query(CONTRACT, rows_in=rows_in)
-                ids.append(got.column("t").to_numpy())
-                places.append(got.column("g").to_numpy())
-                lo = hi
-            packed = np.concatenate(ids).astype("<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.concatenate(places), np.append(0, ends))).tolist()
-            for i, a, b in zip(part, cuts, cuts[1:], strict=False):
-                out[i] = packed[a:b]
-        return out
-
-    def learn(self, units: list[str], matches: list[list[str]]) -> list[bytes]:
-        """The packed ids of units, which the pattern cuts into these matches."""
-        new = self.tokens.missing(set().union(*matches))
-        self.tokens.store(new, self.contract([t.encode() for t in new]))
-        return [b"".join(map(self.tokens.__getitem__, m)) for m in matches]
-
-    def cut(self, unit: str) -> list[str]:
-        if self.plain and unit[:1] == " ":  # letters, and one mark after them, need no pattern
-            if unit[1:].isalpha():
-                return [unit]
-            if unit[-1] in MARKS and unit[1:-1].isalpha():
-                return [unit[:-1], unit[-1]]
-        return self.split.findall(unit)
-
-    def ids_of(self, units: list[str]) -> list[bytes]:
-        """The packed ids of distinct units."""
-        new = self.units.missing(units)
-        self.units.store(new, self.learn(new, [self.cut(u) for u in new]))
-        out = list(map(self.units.__getitem__, units))
-        self.units.turn()
-        self.tokens.turn()
-        return out
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        whole = pc.index_in(words, value_set=self.vocabulary)
+        known = whole.is_valid().to_numpy(zero_copy_only=False)
+        rest = words.filter(whole.is_null())
+        bounds = common.offsets_of(rest)
+        raw = np.frombuffer(common.data_of(rest), np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        last = np.append(self.dead[raw[:-1], raw[1:]], True)[: len(raw)]  # nothing merges across these places
+        last[bounds[1:][np.diff(bounds) > 0] - 1] = True
+        ids, places, lo = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+        while lo < len(raw):  # bounds what one recursion holds
+            hi = lo + ROWS
+            hi = len(raw) if hi >= len(raw) else hi + int(np.argmax(last[hi:])) + 1
+            t = self.of_byte[raw[lo:hi]]
+            rows_in = pa.table({"g": np.arange(lo, hi, dtype=np.int32), "t": t, "b": pa.array(np.append(t[1:], 0), pa.int32(), mask=last[lo:hi])})
+            got = self.query(CONTRACT, rows_in=rows_in)
+            ids.append(got.column("t").to_numpy())
+            places.append(got.column("g").to_numpy())
+            lo = hi
+        cuts = np.searchsorted(np.concatenate(places), bounds)
+        n, at = np.ones(len(words), np.int64), np.zeros(len(words), np.int64)
+        at[known] = whole.drop_null().to_numpy()
+        at[~known], n[~known] = len(self.ids) + cuts[:-1], np.diff(cuts)
+        return common.packed(_gather(np.concatenate([self.ids, *ids]).astype("<u4"), at, n), np.cumsum(n))
+
+    def looked_up(self, words: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """The packed ids of matches, which may be repeated."""
+        coded = words.dictionary_encode()
+        return self.tokens.of(coded.dictionary).take(coded.indices)
+
+    def learn(self, units: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """The packed ids of units, cut by the pattern."""
+        matches = [[m.encode() for m in self.split.findall(u)] for u in units.cast(pa.large_string()).to_pylist()]
+        ids = self.looked_up(pa.array([m for some in matches for m in some], BYTES))
+        cuts = common.offsets_of(ids)[np.append(0, np.cumsum([len(m) for m in matches], dtype=np.int64))] // 4
+        return common.packed(np.frombuffer(common.data_of(ids), "<u4")[cuts[0] : cuts[-1]], cuts[1:] - cuts[0])
+
+    def ids_of(self, units: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The packed ids of distinct units.  A space with letters, and marks after them, need no pattern."""
+        n = len(units)
+        if not self.plain:
+            return self.units.of(units.cast(BYTES))
+        simple = pc.match_substring_regex(units, f"^ [{letters()}]+[{MARKS}]*$")
+        plain, other = units.filter(simple), self.units.of(units.filter(pc.invert(simple)).cast(BYTES))
+        ends = common.offsets_of(plain)
+        # each as two matches, letters and marks, which may be none
+        marks = ends[:-1] + pc.binary_length(pc.utf8_rtrim(plain, characters=MARKS)).to_numpy()
+        matches = common.packed(np.frombuffer(common.data_of(plain), np.uint8)[ends[0] : ends[-1]], np.stack([marks, ends[1:]], 1).ravel() - ends[0])
+        ids = self.looked_up(matches)
+        ids = common.packed(np.frombuffer(common.data_of(ids), "<u4"), common.offsets_of(ids)[2::2] // 4)
+        simple = simple.to_numpy(zero_copy_only=False)
+        order = np.empty(n, np.int64)
+        order[simple], order[~simple] = np.arange(len(ids)), len(ids) + np.arange(len(other))
+        return pa.concat_arrays([ids, other]).take(pa.array(order))
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and each text's number of them.
 
         A run of white space and the characters after it are tokenised alike in any
         surroundings: such units are looked up once a chunk, and the ids put together by their codes.
         """
+        texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()), "")
         ids, sizes = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
-        for part in common.slices(_parts(texts), CHUNK, lambda p: len(p[1])):
-            got, n = self._encode([t for _, t in part])
+        for part in common.slices(_parts(texts), CHUNK, lambda p: p[2]):
+            whole = [i for i, t, _ in part if t is None]
+            got, n = self._encode(texts.slice(whole[0], len(whole)) if len(whole) == len(part) else pa.array([texts[i].as_py() if t is None else t for i, t, _ in part], pa.large_string()))
             ids.append(got)
-            np.add.at(sizes, [i for i, _ in part], n)
+            np.add.at(sizes, [i for i, *_ in part], n)
         return np.concatenate(ids), sizes
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = [ODD.search(t) is not None for t in texts]
-        pieces = pc.split_pattern(pa.array([None if o else t for o, t in zip(odd, texts, strict=True)], pa.large_string()), " ")
-        offsets = pieces.offsets.to_numpy()
-        coded = pieces.flatten().dictionary_encode()
-        codes, units = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), [" " + u for u in coded.dictionary.to_pylist()]
-        number: dict[str, int] = {}  # of the units that don't begin with a space of their own
-        place = lambda u: number.setdefault(u, len(units) + len(number))
-        each = []
-        for i, (o, t) in enumerate(zip(odd, texts, strict=True)):
-            if o:
-                each.append(np.fromiter(map(place, SEGMENT.findall(t)), np.int64))
-            else:
-                codes[offsets[i]] = place(t.partition(" ")[0])
-                each.append(codes[offsets[i] : offsets[i + 1]])
-        packed = self.ids_of(units + list(number))
-        length = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        flat, at = np.frombuffer(b"".join(packed), "<u4").astype(np.int32), np.cumsum(length) - length
-        codes = np.concatenate(each) if each else np.zeros(0, np.int64)
-        n = length[codes]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(at[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.append(0, ends)[np.append(0, np.cumsum([len(e) for e in each], dtype=np.int64))]
+    def _encode(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, ODD)
+        pieces = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        bounds, flat = pieces.offsets.to_numpy(), pieces.flatten()
+        coded = flat.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string()))
+        # the units that don't begin with a space of their own: the first of a text, and those of odd ones
+        firsts = bounds[:-1]
+        segments = [SEGMENT.findall(t) for t in texts.filter(odd).to_pylist()]
+        named = pa.concat_arrays([flat.take(pa.array(firsts)), pa.array([s for some in segments for s in some], pa.large_string())]).dictionary_encode()
+        number = named.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(spaced)
+        codes[firsts] = number[: len(firsts)]
+        odd, lengths = odd.to_numpy(zero_copy_only=False), np.empty(len(texts), np.int64)
+        lengths[~odd], lengths[odd] = np.diff(bounds), [len(s) for s in segments]
+        mine, merged = np.repeat(odd, lengths), np.empty(lengths.sum(), np.int64)
+        merged[mine], merged[~mine] = number[len(firsts) :], codes
+        codes = merged
+        packed = pa.concat_arrays([self.ids_of(spaced), self.ids_of(named.dictionary)])
+        cuts = common.offsets_of(packed) // 4
+        n = np.diff(cuts)
+        ids = _gather(np.frombuffer(common.data_of(packed), "<u4").astype(np.int32), cuts[:-1][codes], n[codes])
+        upto = np.append(0, np.cumsum(n[codes]))[np.append(0, np.cumsum(lengths))]
         return ids, np.diff(upto)
 
     # -- decoding
@@ -276,31 +297,44 @@ class Codec:
         first[np.append(0, ends)[:-1][np.diff(np.append(0, ends)) > 0]] = True
         at = np.append(np.flatnonzero(first), len(ids))
         runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]).dictionary_encode()
-        distinct = runs.dictionary.to_pylist()
-        new = self.runs.missing(distinct)
-        for part in common.slices(new, 4 * ROWS, len):
-            flat = np.frombuffer(b"".join(part), "<u4").astype(np.int32)
-            lengths = np.array([len(r) // 4 for r in part])
-            run = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
-            p = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            pieces = self.query(DECODE, token_rows=pa.table({"run": run, "p": p, "t": flat})).column("piece").to_pylist()
-            self.runs.store(part, [s.encode("latin-1") for s in pieces])
-        known = pa.array(list(map(self.runs.__getitem__, distinct)), pa.large_binary())
-        self.runs.turn()
-        made = known.take(runs.indices)
-        offsets = np.frombuffer(made.buffers()[1], np.int64, len(made) + 1, 8 * made.offset) if len(made) else np.zeros(1, np.int64)
-        cuts, data = offsets[np.searchsorted(at, np.append(0, ends))], memoryview(made.buffers()[2] or b"")
+        made = self.runs.of(runs.dictionary).take(runs.indices)
+        cuts, data = common.offsets_of(made)[np.searchsorted(at, np.append(0, ends))], common.data_of(made)
         return [bytes(data[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
-
-def _parts(texts: list[str]) -> Iterator[tuple[int, str]]:
-    """Texts by number, long ones in parts that are cut before white space that follows other characters."""
-    for i, text in enumerate(texts):
-        at = 0
+    def spell(self, runs: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """The bytes of runs of packed ids."""
+        out, lo, ends = [pa.array([], BYTES)], 0, common.offsets_of(runs) // 4
+        while lo < len(runs):
+            hi = min(len(runs), max(lo + 1, int(np.searchsorted(ends, ends[lo] + ROWS))))
+            flat = np.frombuffer(common.data_of(runs), "<u4")[ends[lo] : ends[hi]].astype(np.int32)
+            lengths = np.diff(ends[lo : hi + 1])
+            run = np.repeat(np.arange(hi - lo, dtype=np.int32), lengths)
+            p = np.arange(len(flat), dtype=np.int32)
+            pieces = self.query(DECODE, token_rows=pa.table({"run": run, "p": p, "t": flat})).column("piece")
+            # a character stands for a byte
+            raw = "".join(pieces.to_pylist()).encode("latin-1")
+            out.append(common.packed(np.frombuffer(raw, np.uint8), np.cumsum(pc.utf8_length(pieces).to_numpy())))
+            lo = hi
+        return pa.concat_arrays(out)
+
+
+def _gather(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n items of flat from each place on, in a row."""
+    ends = np.cumsum(n)
+    return flat[np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _parts(texts: pa.LargeStringArray) -> Iterator[tuple[int, str | None, int]]:
+    """Texts by number, as None and their bytes; long ones in parts that are cut before white space that follows other characters."""
+    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        if size <= CHUNK:
+            yield i, None, size
+            continue
+        text, at = texts[i].as_py(), 0
         while len(text) - at > CHUNK and (cut := CUT.search(text, at + CHUNK // 2)):
-            yield i, text[at : cut.start()]
+            yield i, text[at : cut.start()], cut.start() - at
             at = cut.start()
-        yield i, text[at:]
+        yield i, text[at:], len(text) - at
 
 
 _codecs: dict[str, Codec] = {}
@@ -335,15 +369,11 @@ def _tables(path: str) -> tuple[dict[bytes, int], pa.Table]:
     return _known[path]
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [t or "" for t in batch.column(1).to_pylist()]
-
-
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>) of ``docs(doc_id, text)``."""
 
     def run(own: Codec, batch: pa.RecordBatch) -> list[pa.Array]:
-        ids, sizes = own.encode(_texts(batch))
+        ids, sizes = own.encode(batch.column(1))
         return [pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))]
 
     return _map(docs, path, pattern, run, "doc_id long, n_tokens long, ids array<int>")
@@ -364,7 +394,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode, then decode the ids: their number and the digests of both, without keeping either."""
 
     def run(own: Codec, batch: pa.RecordBatch) -> list[pa.Array]:
-        ids, sizes = own.encode(_texts(batch))
+        ids, sizes = own.encode(batch.column(1))
         raw, cuts = memoryview(ids.astype("<u4").tobytes()), np.append(0, 4 * np.cumsum(sizes)).tolist()
         return [
             pa.array(sizes),
