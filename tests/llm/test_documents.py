@@ -136,6 +136,18 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.metadata(spark, str(tmp_path / "ids0")).count() == len(TEXTS)
 
 
+def test_token_words(monkeypatch):
+    pytest.importorskip("tokenizers")
+    own, stem_of, asked = token_files.Encoder(tokenizers.path("word_bpe_49k.json")), token_files.stem_of, []
+    monkeypatch.setattr(token_files, "stem_of", lambda w: asked.append(w) or stem_of(w))
+    texts = [" The cat***, sat<|endoftext|>. %% a1! ", "", "x", "THE Straße. café! 漢字, ².\x1cİ?\x85 <|X.", "wort\u3000! ..", "the the. The"]
+    for _ in range(2):
+        assert own.check(texts)
+        own.stems.most = 0  # everything is forgotten after each call
+    # ASCII words are parted from their marks without Python
+    assert asked and not any(w.isascii() for w in asked)
+
+
 def test_mix(spark, docs, none):
     got = source_mix.amounts(docs).collect()
     assert len(got) == len(TEXTS) and source_mix.amounts(none).count() == 0

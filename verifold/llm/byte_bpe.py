@@ -210,7 +210,7 @@ class Codec:
         n, at = np.ones(len(words), np.int64), np.zeros(len(words), np.int64)
         at[known] = whole.drop_null().to_numpy()
         at[~known], n[~known] = len(self.ids) + cuts[:-1], np.diff(cuts)
-        return common.packed(_gather(np.concatenate([self.ids, *ids]).astype("<u4"), at, n), np.cumsum(n))
+        return common.packed(common.gather(np.concatenate([self.ids, *ids]).astype("<u4"), at, n), np.cumsum(n))
 
     def looked_up(self, words: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
         """The packed ids of matches, which may be repeated."""
@@ -278,7 +278,7 @@ class Codec:
         packed = pa.concat_arrays([self.ids_of(spaced), self.ids_of(named.dictionary)])
         cuts = common.offsets_of(packed) // 4
         n = np.diff(cuts)
-        ids = _gather(np.frombuffer(common.data_of(packed), "<u4").astype(np.int32), cuts[:-1][codes], n[codes])
+        ids = common.gather(np.frombuffer(common.data_of(packed), "<u4").astype(np.int32), cuts[:-1][codes], n[codes])
         upto = np.append(0, np.cumsum(n[codes]))[np.append(0, np.cumsum(lengths))]
         return ids, np.diff(upto)
 
@@ -318,12 +318,6 @@ class Codec:
         return pa.concat_arrays(out)
 
 
-def _gather(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """n items of flat from each place on, in a row."""
-    ends = np.cumsum(n)
-    return flat[np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 def _parts(texts: pa.LargeStringArray) -> Iterator[tuple[int, str | None, int]]:
     """Texts by number, as None and their bytes; long ones in parts that are cut before white space that follows other characters."""
     for i, size in enumerate(pc.binary_length(texts).to_pylist()):

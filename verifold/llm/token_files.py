@@ -23,11 +23,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Memory
+from .common import BYTES, Lexicon
 
 SCHEMA = "doc_id long, offset long, n_tokens long, ids array<int>"
 LAYOUT = {
@@ -41,7 +42,10 @@ LAYOUT = {
 
 
 #: Marks that may be cut off a word's end.
-MARKS = frozenset(b".,;:!?*%&$#")
+MARKS = b".,;:!?*%&$#"
+
+
+ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
 
 
 def stem_of(word: bytes) -> tuple[bytes, bytes]:
@@ -52,7 +56,7 @@ def stem_of(word: bytes) -> tuple[bytes, bytes]:
     """
     if b"<|" in word:
         return word, b""
-    stem = word.rstrip(bytes(MARKS))
+    stem = word.rstrip(MARKS)
     if stem and stem != word and (stem[-1:].isalnum() or stem[-1] >= 128 and stem.decode()[-1].lower().isalpha()):
         return stem.lower(), word[len(stem) :]
     return word.lower(), b""
@@ -70,58 +74,75 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words, self.stems = Memory(48 << 20), Memory(48 << 20)
+        self.stems = Lexicon(self.learn, 64 << 20)
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def encode(self, texts: list[bytes], end: int | None = None) -> list[bytes]:
-        """The ids of each text as packed little-endian 32-bit integers."""
-        cut = [t.split() for t in texts]
-        plain, lower, marked = [], [], []
-        for w in self.words.missing(set().union(*cut)):
-            if w[-1] in MARKS or b"<|" in w:
-                marked.append((w, *stem_of(w)))
-            else:
-                plain.append(w)
-                lower.append(w.lower())
-        self.learn({*lower, *(x for _, a, b in marked for x in (a, b))})
-        stems = self.stems
-        self.words.store(plain, list(map(stems.__getitem__, lower)))
-        self.words.store([w for w, *_ in marked], [stems[a] + stems[b] for _, a, b in marked])
-        tail = b"" if end is None else np.uint32(end).astype("<u4").tobytes()
-        out = [b"".join(map(self.words.__getitem__, words)) + tail for words in cut]
-        self.words.turn()
-        stems.turn()
-        return out
-
-    def learn(self, stems: set[bytes]) -> None:
-        new = self.stems.missing(stems)
-        # A word of letters is one pre-token and ends with the one id that ends a word, so such
-        # words are encoded many to a text; the others one by one.
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and each text's number of them."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = cut.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(zero_copy_only=False), self.words(coded.dictionary)
+        bounds = common.offsets_of(words) // 4
+        n = np.diff(bounds)[codes]
+        ids = common.gather(np.frombuffer(common.data_of(words), "<u4").astype(np.int32), bounds[:-1][codes], n)
+        upto = np.append(0, np.cumsum(n))[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return (ids, np.diff(upto)) if end is None else (np.insert(ids, upto[1:], end), np.diff(upto) + 1)
+
+    def words(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The packed ids of distinct words, each as two parts; see stem_of, which sees to words of other than ASCII before their marks."""
+        special = pc.match_substring(words, "<|")
+        stems = pc.ascii_rtrim(words, characters=MARKS.decode())
+        ends, stop = common.offsets_of(words), pc.binary_length(stems).to_numpy()
+        size, raw = np.diff(ends), np.frombuffer(common.data_of(words), np.uint8)
+        ends = ends[:-1]
+        lower = np.frombuffer(common.data_of(pc.ascii_lower(words)), np.uint8)
+        text = np.where(np.repeat(special.to_numpy(zero_copy_only=False), size), raw[ends[0] : ends[0] + size.sum()], lower) if len(words) else lower
+        marked = (0 < stop) & (stop < size) & ~special.to_numpy(zero_copy_only=False)
+        before = np.zeros(len(words), np.uint8)
+        before[marked] = raw[(ends + stop - 1)[marked]]
+        parts = marked & ALNUM[before]
+        for i in np.flatnonzero(marked & (before >= 128)).tolist():
+            parts[i] = bool(stem_of(words[i].as_py().encode())[1])
+        at = np.cumsum(size) - size
+        cuts = np.stack([at + np.where(parts, stop, size), at + size], 1).ravel()
+        halves = common.packed(text, cuts).dictionary_encode()
+        ids = self.stems.of(halves.dictionary).take(halves.indices)
+        return common.packed(np.frombuffer(common.data_of(ids), "<u4"), common.offsets_of(ids)[2::2] // 4)
+
+    def learn(self, stems: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """The packed ids of stems.
+
+        A word of letters is one pre-token and ends with the one id that ends a word, so such
+        words are encoded many to a text; the others one by one.
+        """
+        new = stems.to_pylist()
+        known: dict[bytes, bytes] = {b"": b""}
         letters = [w for w in new if w.isalpha() or (not w.isascii() and (t := w.decode()).isalpha() and t.lower().isalpha())]
         for at in range(0, len(letters), 20_000):
             part = letters[at : at + 20_000]
             joined = [b" ".join(part[i : i + 200]).decode() for i in range(0, len(part), 200)]
-            self.store(part, np.fromiter(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(joined, add_special_tokens=False)), np.int64))
-        known = set(letters)
+            known.update(zip(part, self.ended(part, np.fromiter(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(joined, add_special_tokens=False)), np.int64)), strict=True))
         rest = [w for w in new if w not in known]
         for at in range(0, len(rest), 20_000):
             part = rest[at : at + 20_000]
             ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            self.stems.store(part, [np.array(x, "<u4").tobytes() for x in ids])
+            known.update(zip(part, [np.array(x, "<u4").tobytes() for x in ids], strict=True))
+        return pa.array(list(map(known.__getitem__, new)), BYTES)
 
-    def store(self, words: list[bytes], flat: np.ndarray) -> None:
+    def ended(self, words: list[bytes], flat: np.ndarray) -> list[bytes]:
+        """Their ids cut into words by the ids that end one."""
         ends = np.flatnonzero(self.ends[flat]) + 1
         if len(ends) != len(words):  # the vocabulary doesn't end words as expected
-            self.stems.store(words, [np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words])
-            return
+            return [np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words]
         packed, cuts = flat.astype("<u4").tobytes(), (4 * np.append(0, ends)).tolist()
-        self.stems.store(words, [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def check(self, texts: list[str]) -> bool:
-        whole = [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-        return self.encode([t.encode() for t in texts]) == whole
+        ids, sizes = self.encode(pa.array(texts, pa.large_string()))
+        whole = [self.library.encode(t, add_special_tokens=False).ids for t in texts]
+        return sizes.tolist() == list(map(len, whole)) and ids.tolist() == list(chain.from_iterable(whole))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -144,11 +165,10 @@ def write(docs: DataFrame, vocabulary: str, end: int, path: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for batch in batches:
-            packed = encoder(vocabulary).encode(common.texts(batch), end)
-            sizes = np.array([len(x) // 4 for x in packed], np.int64)
+            ids, sizes = encoder(vocabulary).encode(batch.column(1), end)
             offsets = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(offsets), pa.array(sizes), lists], schema=arrow)
 
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
