@@ -119,6 +119,32 @@ def test_bpe_marks_and_memory():
         assert own.decode(ids, sizes) == [t.encode() for t in texts] and not len(own.tokens.keys)
 
 
+def test_bpe_pieces_of_words():
+    tiktoken = pytest.importorskip("tiktoken")
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own, query, rows = byte_bpe.Codec(ranks, tokenizers.PATTERN), byte_bpe.Codec.query, []
+
+    def counted(sql, **tables):
+        if sql == byte_bpe.CONTRACT:
+            rows.append(len(tables["rows_in"]))
+        return query(own, sql, **tables)
+
+    own.query = counted
+    rng = np.random.default_rng(5)
+    parts = ["th", "on", "er", "ción", "keit", "ñ", "eau", "sh", "ndr", "lla", "öß", "tti"]
+    texts = [" " + " ".join("".join(rng.choice(parts, rng.integers(2, 6))) for _ in range(2000)) for _ in range(3)]
+    texts += ["aaaaaaa abababab" * 9, " thth" * 3, "漢字漢字 ((((((((x", "tion" * 400]
+    for most in (own.pieces.most, 0):  # 0: everything is forgotten after each call
+        own.pieces.most = own.tokens.most = most
+        ids, sizes = own.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode_ordinary(t) for t in texts]
+        own.encode([t[::-1] for t in texts])
+    # what the first steps leave of words is much alike, and is contracted once
+    assert sum(rows) < 0.6 * sum(map(len, {w.encode() for t in texts for w in t.split(" ")}))
+
+
 def test_token_files(spark, docs, none, tmp_path):
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(tokenizers.path("word_bpe_49k.json"))
     for n, table in enumerate((docs, none)):

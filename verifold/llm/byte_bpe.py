@@ -5,6 +5,7 @@ token-position rows (position, token, next token), and one recursive query joins
 merge table, step by step until no pair merges.  In each step a word's leftmost pair of minimum
 rank is contracted, and with it every pair whose contraction no pair of a lower rank can come
 before: what it might lose a side to, or grow into, is read from the vocabulary (see BESIDE).
+Words are cut where nothing merges, before and after the first steps, and equal pieces are contracted once.
 So steps are few for words of any length, and the ids are those of one contraction at a time.
 Decoding joins token rows with the vocabulary and puts the bytes together by an ordered aggregate.
 
@@ -43,11 +44,15 @@ CUT = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 SHIFT = 1 << 20  # ids are below this
 CHUNK = 8 << 20  # bytes of text at a time
 ROWS = 1 << 19  # token rows of one recursion, about
+FIRST_STEPS, MORE_STEPS = 2, 2  # in which strict pairs alone are contracted, on parts of words and on what they leave
 MARKS = ".,;:!?*%&$#"
 
 #: What the vocabulary says about two tokens side by side.  A pair that no token has in it never
 #: merges, nor does anything across it.  m: the token that both make.  onward, back: the least
 #: token (its rank) that begins or ends with both.  solid: no token that m is a side of is of a lower rank than m.
+#: A pair's code has them in fields of 20 bits, m, onward and back, under the bits of alive and solid.
+NONE, ALIVE, SOLID = SHIFT - 1, 2, 3
+DEAD = (1 << 60) - 1  # the code of pairs that aren't beside each other in any token
 BESIDE = f"""
 CREATE TABLE beside AS
 WITH cut AS (
@@ -59,7 +64,8 @@ pairs AS (
          min(x.u) FILTER (WHERE x.i = 1) AS onward, min(x.u) FILTER (WHERE y.j = y.n) AS back
   FROM part x JOIN part y ON x.u = y.u AND x.j = y.i GROUP BY 1),
 loose AS (SELECT DISTINCT side FROM (SELECT unnest([pair // {SHIFT}, pair % {SHIFT}]) AS side, m FROM pairs WHERE m IS NOT NULL) WHERE m < side)
-SELECT pair, m, onward, back, m IS NOT NULL AND side IS NULL AS solid FROM pairs LEFT JOIN loose ON side = m
+SELECT pair, (({ALIVE} + (m IS NOT NULL AND side IS NULL)::BIGINT) << 60) + (coalesce(m, {NONE})::BIGINT << 40) + (coalesce(onward, {NONE})::BIGINT << 20) + coalesce(back, {NONE}) AS code
+FROM pairs LEFT JOIN loose ON side = m
 """
 
 #: rows_in: g (position, over all words), t (token), b (the word's next token, null at its end).
@@ -69,40 +75,61 @@ SELECT pair, m, onward, back, m IS NOT NULL AND side IS NULL AS solid FROM pairs
 #: Later steps see to the rest.  Tokens between two dead borders are a part; of each the least pair is
 #: contracted, strict ones, and of a run of ties after a strict one every second (tie: strict but
 #: for the equal pair one place before, as in runs of one letter); parts in which nothing merges are done.
-JOINED = f"""
-SELECT a.step, a.g, a.t, e.m, e.solid, e.onward, e.back, e.pair IS NOT NULL AS alive
-FROM s a LEFT JOIN beside e ON e.pair = a.t::BIGINT * {SHIFT} + a.b WHERE NOT a.done"""
-_AT = {i: (lambda c, i=i: c if not i else f"lead({c}, {i}) OVER o" if i > 0 else f"lag({c}, {-i}) OVER o") for i in range(-2, 4)}
-_STRICT = {i: f"(coalesce({_AT[i]('solid')}, false) AND {_AT[i]('m')} <= coalesce({_AT[i + 1]('onward')}, {SHIFT}) AND {_AT[i]('m')} < coalesce({_AT[i - 1]('back')}, {SHIFT}))" for i in range(-1, 3)}
-_NOW = {i: f"CASE WHEN {_STRICT[i]} THEN {_AT[i]('m')} ELSE {_AT[i]('t')} END" for i in range(3)}
+JOINED = f"SELECT a.step, a.g, a.t, coalesce(e.code, {DEAD}) AS code FROM s a LEFT JOIN beside e ON e.pair = a.t::BIGINT * {SHIFT} + a.b WHERE NOT a.done"
+
+
+def _alive(code: str) -> str:
+    return f"({code}) >> 60 >= {ALIVE}"
+
+
+def _strict(before: str, code: str, after: str) -> str:
+    m = f"(({code}) >> 40 & {NONE})"
+    return f"(({code}) >> 60 = {SOLID} AND {m} <= (({after}) >> 20 & {NONE}) AND {m} < (({before}) & {NONE}))"
+
+
+_AT = ["before2", "before", "code", "after", "after2", "after3"]
+_STRICT = {i: _strict(*_AT[i + 1 : i + 4]) for i in range(-1, 3)}
+_NOW = {i: f"CASE WHEN {_STRICT[i]} THEN (({_AT[i + 2]}) >> 40 & {NONE})::INT ELSE {'t' + str(i or '')} END" for i in range(3)}
+BEGIN = f"""
+  SELECT step + 1, g, {_NOW[0]}, CASE WHEN {_STRICT[0]} THEN CASE WHEN {_alive('after')} THEN {_NOW[2]} END WHEN {_alive('code')} THEN {_NOW[1]} END,
+         NOT ({_alive('code')} OR {_alive('before')})
+  FROM (
+    SELECT *, lag(code, 2, {DEAD}) OVER o AS before2, lag(code, 1, {DEAD}) OVER o AS before, lead(code, 1, {DEAD}) OVER o AS after,
+           lead(code, 2, {DEAD}) OVER o AS after2, lead(code, 3, {DEAD}) OVER o AS after3, lead(t, 1) OVER o AS t1, lead(t, 2) OVER o AS t2
+    FROM ({JOINED} AND a.step < {{steps}}) WINDOW o AS (ORDER BY g))
+  WHERE NOT {_STRICT[-1]}"""
+#: The first steps alone; last: nothing merges across what follows.
+FIRST = f"""
+WITH RECURSIVE s AS (SELECT 0 AS step, g, t, b, false AS done FROM rows_in UNION ALL ({BEGIN.format(steps=FIRST_STEPS)}))
+SELECT g, a.t, pair IS NULL AS last FROM s a LEFT JOIN beside ON pair = a.t::BIGINT * {SHIFT} + b WHERE step = {FIRST_STEPS} OR done ORDER BY g
+"""
 CONTRACT = f"""
 WITH RECURSIVE s AS (
   SELECT 0 AS step, g, t, b, false AS done FROM rows_in
-  UNION ALL (
-  SELECT step, g, now, next, lone FROM (
-    SELECT step + 1 AS step, g, {_NOW[0]} AS now, {_STRICT[-1]} AS eaten, NOT alive AND NOT coalesce({_AT[-1]('alive')}, false) AS lone,
-           CASE WHEN {_STRICT[0]} THEN CASE WHEN {_AT[1]('alive')} THEN {_NOW[2]} END WHEN alive THEN {_NOW[1]} END AS next
-    FROM ({JOINED} AND a.step < 3) WINDOW o AS (ORDER BY g))
-  WHERE NOT eaten
+  UNION ALL ({BEGIN.format(steps=MORE_STEPS)}
   UNION ALL
-  SELECT 3, g, now, CASE WHEN c THEN after_next ELSE next END, least IS NULL FROM (
+  SELECT {MORE_STEPS}, g, now, CASE WHEN c THEN after_next ELSE next END, least IS NULL FROM (
     SELECT g, now, c, least, lag(c) OVER o AS eaten,
            CASE WHEN alive THEN lead(now) OVER o END AS next,
            CASE WHEN lead(alive) OVER o THEN lead(now, 2) OVER o END AS after_next
     FROM (
       SELECT g, alive, least, c, CASE WHEN c THEN m ELSE t END AS now FROM (
         SELECT g, t, m, alive, least,
-               m IS NOT NULL AND (k = least OR strict OR (tie AND first & 1 = 1 AND (number - first // 2) & 1 = 0)) AS c
+               m < {NONE} AND (k = least OR strict OR (tie AND first & 1 = 1 AND (number - first // 2) & 1 = 0)) AS c
         FROM (
-          SELECT *, min(k) OVER (PARTITION BY part) AS least FROM (
-            SELECT *, max(CASE WHEN NOT tie THEN number * 2 + strict::INT END) OVER (ORDER BY g ROWS UNBOUNDED PRECEDING) AS first FROM (
-              SELECT g, t, m, alive, (m::BIGINT << 32) + g AS k, row_number() OVER o AS number, {_STRICT[0]} AS strict,
-                     sum((NOT alive)::INT) OVER (ORDER BY g ROWS UNBOUNDED PRECEDING) - (NOT alive)::INT AS part,
-                     coalesce(solid AND m <= coalesce(lead(onward) OVER o, {SHIFT}) AND m = lag(back) OVER o AND m = lag(m) OVER o, false) AS tie
-              FROM ({JOINED} AND a.step >= 3)
-              WINDOW o AS (ORDER BY g)))))) WINDOW o AS (ORDER BY g))
+          SELECT *, min(k) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS least,
+                 max(CASE WHEN NOT tie THEN number * 2 + strict::INT END) OVER (p ROWS UNBOUNDED PRECEDING) AS first
+          FROM (
+            SELECT g, t, part, number, (code >> 40 & {NONE})::INT AS m, {_alive('code')} AS alive, {_strict('before', 'code', 'after')} AS strict,
+                   CASE WHEN m < {NONE} THEN (m::BIGINT << 32) + g END AS k,
+                   code >> 60 = {SOLID} AND m <= (after >> 20 & {NONE}) AND m = (before & {NONE}) AND m = (before >> 40 & {NONE}) AS tie
+            FROM (
+              SELECT *, row_number() OVER o AS number, lag(code, 1, {DEAD}) OVER o AS before, lead(code, 1, {DEAD}) OVER o AS after,
+                     sum((NOT {_alive('code')})::INT) OVER (ORDER BY g ROWS UNBOUNDED PRECEDING) - (NOT {_alive('code')})::INT AS part
+              FROM ({JOINED} AND a.step >= {MORE_STEPS}) WINDOW o AS (ORDER BY g)))
+          WINDOW p AS (PARTITION BY part ORDER BY g)))) WINDOW o AS (ORDER BY g))
   WHERE eaten IS NOT TRUE)
-)
+  )
 SELECT g, t FROM s WHERE done ORDER BY g
 """
 DECODE = "SELECT run, string_agg(piece, '' ORDER BY p) AS piece FROM token_rows JOIN vocabulary USING (t) GROUP BY run ORDER BY run"
@@ -148,11 +175,18 @@ def beside(ranks: dict[bytes, int]) -> pa.Table:
     sql = _connect(4, 700)
     _load(sql, vocabulary=_vocabulary(ranks))
     sql.execute(BESIDE)
-    found = sql.sql("SELECT pair, m::INT AS m, onward::INT AS onward, back::INT AS back, solid FROM beside").to_arrow_table()
+    found = sql.sql("FROM beside").to_arrow_table()
     sql.close()
     return found
 
 
+def rows_of(t: np.ndarray, bounds: np.ndarray) -> pa.Table:
+    """rows_in: tokens of sequences, none empty, that begin and end at these bounds."""
+    last = np.zeros(len(t), bool)
+    last[bounds[1:] - 1] = True
+    return pa.table({"g": np.arange(len(t), dtype=np.int32), "t": t, "b": pa.array(np.append(t[1:], 0), pa.int32(), mask=last)})
+
+
 class Codec:
     """ranks: bytes of each token to its id, which is its rank.  pattern: how texts are split."""
 
@@ -175,6 +209,7 @@ class Codec:
         self.vocabulary = pa.array(ranks, BYTES)
         self.ids = np.fromiter(ranks.values(), "<u4", len(ranks))
         self.tokens, self.units, self.runs = Lexicon(self.contract, 64 << 20), Lexicon(self.learn, 32 << 20), Lexicon(self.spell, 32 << 20)
+        self.pieces = Lexicon(self.settle, 24 << 20)
 
     def query(self, sql: str, **tables: pa.Table) -> pa.Table:
         for name, table in tables.items():
@@ -196,21 +231,40 @@ class Codec:
         bounds = bounds - bounds[0]
         last = np.append(self.dead[raw[:-1], raw[1:]], True)[: len(raw)]  # nothing merges across these places
         last[bounds[1:][np.diff(bounds) > 0] - 1] = True
-        ids, places, lo = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
-        while lo < len(raw):  # bounds what one recursion holds
-            hi = lo + ROWS
-            hi = len(raw) if hi >= len(raw) else hi + int(np.argmax(last[hi:])) + 1
-            t = self.of_byte[raw[lo:hi]]
-            rows_in = pa.table({"g": np.arange(lo, hi, dtype=np.int32), "t": t, "b": pa.array(np.append(t[1:], 0), pa.int32(), mask=last[lo:hi])})
-            got = self.query(CONTRACT, rows_in=rows_in)
-            ids.append(got.column("t").to_numpy())
-            places.append(got.column("g").to_numpy())
-            lo = hi
-        cuts = np.searchsorted(np.concatenate(places), bounds)
+        ends = np.append(0, np.flatnonzero(last) + 1)
+        coded = common.packed(raw, ends[1:]).dictionary_encode()
+        made = self.merged(coded.dictionary).take(coded.indices)
+        cuts = common.offsets_of(made)[np.searchsorted(ends, bounds)] // 4
         n, at = np.ones(len(words), np.int64), np.zeros(len(words), np.int64)
         at[known] = whole.drop_null().to_numpy()
         at[~known], n[~known] = len(self.ids) + cuts[:-1], np.diff(cuts)
-        return common.packed(common.gather(np.concatenate([self.ids, *ids]).astype("<u4"), at, n), np.cumsum(n))
+        return common.packed(common.gather(np.concatenate([self.ids, np.frombuffer(common.data_of(made), "<u4")]), at, n), np.cumsum(n))
+
+    def merged(self, parts: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """The packed ids of distinct parts of words.  What the first steps leave is cut again, and equal pieces are contracted once."""
+        out, lo, ends = [pa.array([], BYTES)], 0, common.offsets_of(parts)
+        while lo < len(parts):  # bounds what one recursion holds
+            hi = min(len(parts), int(np.searchsorted(ends, ends[lo] + ROWS)))
+            bounds = ends[lo : hi + 1] - ends[lo]
+            got = self.query(FIRST, rows_in=rows_of(self.of_byte[np.frombuffer(common.data_of(parts), np.uint8)[ends[lo] : ends[hi]]], bounds))
+            pieces = np.append(0, np.flatnonzero(got.column("last").to_numpy()) + 1)
+            coded = common.packed(got.column("t").to_numpy().astype("<u4"), pieces[1:]).dictionary_encode()
+            made = self.pieces.of(coded.dictionary).take(coded.indices)
+            cuts = common.offsets_of(made)[np.searchsorted(pieces, np.searchsorted(got.column("g").to_numpy(), bounds))] // 4
+            out.append(common.packed(np.frombuffer(common.data_of(made), "<u4"), cuts[1:]))
+            lo = hi
+        return pa.concat_arrays(out)
+
+    def settle(self, pieces: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """The packed ids of distinct sequences of packed tokens."""
+        out, lo, ends = [pa.array([], BYTES)], 0, common.offsets_of(pieces) // 4
+        while lo < len(pieces):
+            hi = min(len(pieces), int(np.searchsorted(ends, ends[lo] + ROWS)))
+            bounds = ends[lo : hi + 1] - ends[lo]
+            got = self.query(CONTRACT, rows_in=rows_of(np.frombuffer(common.data_of(pieces), "<u4")[ends[lo] : ends[hi]].astype(np.int32), bounds))
+            out.append(common.packed(got.column("t").to_numpy().astype("<u4"), np.searchsorted(got.column("g").to_numpy(), bounds[1:])))
+            lo = hi
+        return pa.concat_arrays(out)
 
     def looked_up(self, words: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
         """The packed ids of matches, which may be repeated."""
@@ -275,7 +329,9 @@ class Codec:
         mine, merged = np.repeat(odd, lengths), np.empty(lengths.sum(), np.int64)
         merged[mine], merged[~mine] = number[len(firsts) :], codes
         codes = merged
-        packed = pa.concat_arrays([self.ids_of(spaced), self.ids_of(named.dictionary)])
+        units = pa.concat_arrays([spaced, named.dictionary]).dictionary_encode()
+        codes = units.indices.to_numpy(zero_copy_only=False)[codes]
+        packed = self.ids_of(units.dictionary)
         cuts = common.offsets_of(packed) // 4
         n = np.diff(cuts)
         ids = common.gather(np.frombuffer(common.data_of(packed), "<u4").astype(np.int32), cuts[:-1][codes], n[codes])
