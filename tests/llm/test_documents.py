@@ -174,6 +174,23 @@ def test_token_words(monkeypatch):
     assert asked and not any(w.isascii() for w in asked)
 
 
+def test_shingles_hold_nothing():
+    own, parts, texts = ngram_join.Shingles(4), ngram_join.Parts(ngram_join.Join()), ["a b c", "x", "", "The the THE the the", "a b c d e f a b c d e", LONG, "é\u3000É a\x1cb c d"]
+    texts += [" ".join(f"w{(i * j) % 97}" for j in range(40 + i)) for i in range(20)]
+    found = [own.of(t.encode()) for t in texts]
+    assert list(vars(own).values()) == [4]  # words are hashed once a text and not remembered
+    brute = []
+    for t in texts:
+        w = words("".join(c.lower() if c.isascii() else c for c in t))
+        brute.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    for a, x in zip(found, brute, strict=True):
+        assert len(a) == len(x) and (a[1:] > a[:-1]).all()
+        assert [len(np.intersect1d(a, b)) for b in found] == [len(x & y) for y in brute]
+        if len(a):  # one of each part, empty ones too
+            made = parts.signatures(a)
+            assert len(np.unique(made)) == len(made) == sum(parts.of(b)[0] for b in parts.bands(len(a)))
+
+
 def test_mix(spark, docs, none):
     got = source_mix.amounts(docs).collect()
     assert len(got) == len(TEXTS) and source_mix.amounts(none).count() == 0

@@ -46,7 +46,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Memory
 from .components import components
 
 U = np.uint64
@@ -71,28 +70,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Sorted distinct shingle hashes of texts; word hashes are remembered."""
+    """Sorted distinct shingle hashes of texts."""
 
     def __init__(self, words: int):
-        self.words, self.memory = words, Memory()
+        self.words = words
 
     def of(self, text: bytes) -> np.ndarray:
         words = text.lower().split()  # bytes: A-Z alone
         if not words:
             return np.zeros(0, U)
-        memory = self.memory
-        try:
-            w = np.fromiter(map(memory.__getitem__, words), U, len(words))
-        except KeyError:
-            new = memory.missing(set(words))
-            memory.store(new, list(map(xxhash.xxh3_64_intdigest, new)))
-            w = np.fromiter(map(memory.__getitem__, words), U, len(words))
-            memory.turn()
+        w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))  # dearer to look up than to make
         k = min(self.words, len(w))
         h = w[: len(w) - k + 1].copy()
         for i in range(1, k):
-            h = h * U(0x9E3779B97F4A7C15) + w[i : len(w) - k + 1 + i]
-        return np.unique(mix(h + U(k)))
+            h *= U(0x9E3779B97F4A7C15)
+            h += w[i : len(w) - k + 1 + i]
+        h = mix(h + U(k))
+        h.sort()
+        return h[np.append(True, h[1:] != h[:-1])]
 
 
 class Parts:
@@ -138,7 +133,9 @@ class Parts:
             tag = U((band * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF)
             own = [mix(sums + mix(part[first] + tag))]
             if n > len(first):
-                empty = np.setdiff1d(np.arange(n, dtype=U), part[first])
+                empty = np.ones(n, bool)
+                empty[part[first].astype(np.int64)] = False
+                empty = np.flatnonzero(empty).astype(U)
                 own.append(mix(mix(empty + tag) + U(7)))
             out.append(np.concatenate(own) & ~U(63) | U(band))
         return np.concatenate(out) if out else np.zeros(0, U)
